@@ -1 +1,8 @@
 """chainloom: taint-chain analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks are sent whole, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
