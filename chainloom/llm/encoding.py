@@ -15,7 +15,6 @@ are dropped, so their names can't clash.
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +54,6 @@ class Merges:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], -1)
 
 
-@lru_cache(maxsize=4)
-def load(path: str) -> Merges:
-    return Merges(path)
-
-
 def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one after another, number of ids of each word)."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -119,15 +113,15 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
 class Memory:
     """Ids of the words that a task has met."""
 
-    def __init__(self, path: str) -> None:
-        self.path, self.merges, self.number = path, load(path), {}
+    def __init__(self, path: str, merges: Merges | None = None) -> None:
+        self.path, self.merges, self.number = path, merges or Merges(path), {}
         self.ids, self.start, self.length = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.total = 0
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """A number for each word; the unknown ones are replayed together."""
         if len(self.number) > REMEMBERED:
-            self.__init__(self.path)
+            self.__init__(self.path, self.merges)
         new = [w for w in words if w not in self.number]
         if new:
             ids, lengths = replay([w.encode() for w in new], self.merges)
@@ -144,7 +138,7 @@ def _encoder(path: str, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(path)
         for batch in batches:
-            lists = batch.column(1)
+            *kept, lists = batch.columns
             flat, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
             coded = flat.dictionary_encode()
             number = memory.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(flat) else np.zeros(0, np.int64)
@@ -157,7 +151,7 @@ def _encoder(path: str, counts: bool):
                 within = np.arange(ends[-1]) - np.repeat(ends[:-1], length)
                 ids = memory.ids[0][np.repeat(memory.start[0][number], length) + within]
                 out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, type=pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["key", "out"])
+            yield pa.RecordBatch.from_arrays([*kept, out], [*batch.schema.names[:-1], "out"])
 
     return run
 
@@ -166,13 +160,18 @@ def _words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _run(df: DataFrame, keep: tuple[str, ...], text: str, path: str, counts: bool, name: str) -> DataFrame:
+    kept = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    words = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], _words(F.col(text)).alias("words"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema), f"out {'long' if counts else 'array<int>'}"])
+    return words.mapInArrow(_encoder(path, counts), schema).toDF(*keep, name)
+
+
 def encode(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
     """(key, ids): the token ids of every text."""
-    words = df.select(F.col(key).cast("long").alias("key"), _words(F.col(text)).alias("words"))
-    return words.mapInArrow(_encoder(f"{folder}/{tokenizer}.json", False), "key long, out array<int>").toDF(key, "ids")
+    return _run(df, (key,), text, f"{folder}/{tokenizer}.json", False, "ids")
 
 
-def count_tokens(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """(key, tokens): the number of token ids of every text."""
-    words = df.select(F.col(key).cast("long").alias("key"), _words(F.col(text)).alias("words"))
-    return words.mapInArrow(_encoder(f"{folder}/{tokenizer}.json", True), "key long, out long").toDF(key, "tokens")
+def count_tokens(df: DataFrame, keep: tuple[str, ...], text: str, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+    """(*keep, tokens): the number of token ids of every text."""
+    return _run(df, keep, text, f"{folder}/{tokenizer}.json", True, "tokens")

@@ -104,6 +104,12 @@ class Layout:
         self.counts, self.threshold = counts, threshold
         self.part = (np.arange(BUCKETS) * 7919 % BUCKETS) % PARTS
         self.thresholds = np.ones(PARTS, np.int64)
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+
+    def combinations(self, n: int, t: int) -> np.ndarray:
+        if (n, t) not in self.known:
+            self.known[n, t] = np.array(list(itertools.combinations(range(n), t)), dtype=np.int64).reshape(-1, t)
+        return self.known[n, t]
 
     @property
     def depth(self) -> int:
@@ -125,22 +131,13 @@ class Layout:
             at = np.flatnonzero(part == p)
             t = int(thresholds[p])
             if len(at) >= t:
-                chosen = at[_combinations(len(at), t)]
+                chosen = at[self.combinations(len(at), t)]
                 h = np.full(len(chosen), p + 1, _U)
                 for i in range(t):
                     h = _mix(h + own[chosen[:, i]])
                 yield p, h, chosen[:, -1] < small
 
 
-_KNOWN: dict[tuple[int, int], np.ndarray] = {}
-
-
-def _combinations(n: int, t: int) -> np.ndarray:
-    if (n, t) not in _KNOWN:
-        _KNOWN[n, t] = np.array(list(itertools.combinations(range(n), t)), dtype=np.int64).reshape(-1, t)
-    return _KNOWN[n, t]
-
-
 def _group_correlated(layout: Layout, sample: list[np.ndarray]) -> None:
     """Buckets that stand in the same records mostly share the least record by a random order; deal each such group."""
     least, order = np.full(BUCKETS, np.iinfo(np.int64).max), np.random.default_rng(7).permutation(len(sample))
@@ -191,6 +188,7 @@ def plan(counts: np.ndarray, sample: list[np.ndarray], records: int, threshold:
         if reach.get(depth - 1, (math.inf, []))[0] < best:
             best, chosen = reach[depth - 1]
             layout.thresholds = np.array(chosen)
+    layout.known = {}
     return layout
 
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import encoding, near_copies, spans
+from chainloom.llm import encoding, mixing, near_copies, spans
+from chainloom.functions.lineage import cut
 from chainloom.sources.tables import table
 
 
@@ -25,6 +26,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return cut(mixing.sized(table(spark, d, "documents"), "doc_id", "source", "text"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(_sized(spark, d), table(spark, d, "mix_targets")).withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    documents, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mixing.shares(cut(mixing.mixture(documents, targets)), documents, targets)
+
+
+def p8_order(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shuffled(mixing.mixture(_sized(spark, d), table(spark, d, "mix_targets"))).withColumnRenamed("doc", "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
 
@@ -34,5 +52,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p7_ids, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p7_ids, p8_mix, p8_shares, p8_order, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
