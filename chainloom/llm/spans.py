@@ -200,7 +200,7 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = SPAN, gram: int
     n = partitions(df.sparkSession)
     long = F.col(text).isNotNull() & (F.char_length(F.col(text)) >= span)
     texts = df.where(long).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    windows = cut(signatures(texts, span, gram))
+    windows = signatures(texts, span, gram)
     several = windows.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("sig")
     common = cut(windows.join(several, "sig", "left_semi"))
     classes = common.groupBy("sig", "whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
