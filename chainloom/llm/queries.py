@@ -3,11 +3,29 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import encoding, mixing, near_copies, spans
+from chainloom.llm import canonical, encoding, mixing, near_copies, spans
 from chainloom.functions.lineage import cut
 from chainloom.sources.tables import table
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct label with the entry that it means; labels that mean none have entry 0."""
+    chains, catalog = table(spark, d, "chains").where("backend = 'hybrid'"), table(spark, d, "vuln_catalog")
+    labels = chains.select(F.col("vulnerability_label").alias("label")).where("label <> ''").distinct()
+    found = canonical.match_values(labels, "label", catalog, "entry_id", "label", "aliases").withColumnRenamed("value", "label")
+    return labels.join(found, "label", "left").select("label", F.coalesce("entry", F.lit(0)).alias("entry_id"), "name", "covered")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    chains, catalog = table(spark, d, "chains").where("backend = 'hybrid'"), table(spark, d, "vuln_catalog")
+    entered = chains.select("row_id", F.col("vulnerability_label").alias("label"), "cwe").where("label <> '' or cwe <> ''")
+    rows = entered.groupBy("row_id").agg(F.max(F.struct("label", "cwe")).alias("x")).select("row_id", "x.label", "x.cwe")
+    found = canonical.match_values(rows.where("label <> ''").select("label").distinct(), "label", catalog, "entry_id", "label", "aliases")
+    codes = catalog.select(canonical.number_in(F.col("cwe")).alias("number"), F.col("entry_id").alias("by_number")).where("number is not null").groupBy("number").agg(F.min("by_number").alias("by_number"))
+    matched = rows.join(found.select(F.col("value").alias("label"), F.col("entry").alias("by_label")), "label", "left").withColumn("number", canonical.number_in(F.col("cwe"))).join(F.broadcast(codes), "number", "left")
+    return matched.select("row_id", F.coalesce("by_label", "by_number", F.lit(0)).alias("entry_id"))
+
+
 def _long_paths(spark: SparkSession, d: str) -> DataFrame:
     chains = table(spark, d, "chains")
     wanted = ((F.col("backend") == "hybrid") & (F.col("section") == "tp_matched")) | ((F.col("backend") == "llm") & (F.col("section") == "unclassified_chains"))
@@ -52,5 +70,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p7_ids, p8_mix, p8_shares, p8_order, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_groups, p7_ids, p8_mix, p8_shares, p8_order, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
