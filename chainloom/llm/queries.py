@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import canonical, encoding, mixing, near_copies, spans
+from chainloom.llm import canonical, encoding, entities, mixing, near_copies, spans
 from chainloom.functions.lineage import cut
 from chainloom.sources.tables import table
 
@@ -26,6 +26,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return matched.select("row_id", F.coalesce("by_label", "by_number", F.lit(0)).alias("entry_id"))
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    labels = entities.prepared(table(spark, d, "tp_labels"), "label_key", *map(F.col, ("project", "file", "source_var", "sink_var", "source_line", "sink_line")))
+    named = lambda name, end: F.coalesce(F.nullif(F.trim(name), F.lit("")), F.try_element_at("path", F.lit(end)))
+    findings = entities.prepared(table(spark, d, "scan_findings"), "finding_key", F.col("project_name"), F.col("file_path"), named("source_name", 1), named("sink_name", -1), F.col("source_at"), F.col("sink_at"))
+    return entities.match_records(labels, findings).select(F.col("a_id").alias("label_key"), F.col("b_id").alias("finding_key"), "confidence")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pairs(spark, d).select("label_key", "finding_key")
+
+
 def _long_paths(spark: SparkSession, d: str) -> DataFrame:
     chains = table(spark, d, "chains")
     wanted = ((F.col("backend") == "hybrid") & (F.col("section") == "tp_matched")) | ((F.col("backend") == "llm") & (F.col("section") == "unclassified_chains"))
@@ -70,5 +81,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(documents, "doc_id", "text", spans.shared_spans(documents, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_groups, p7_ids, p8_mix, p8_shares, p8_order, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p3_pairs, p4_found, p4_groups, p7_ids, p8_mix, p8_shares, p8_order, p9_found, p9_shared)}
 SQL: dict[str, str] = {}
