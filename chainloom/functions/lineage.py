@@ -1,6 +1,7 @@
 """Cutting lineage with reliable checkpoints in the folder that the cluster shares."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,11 @@ def cut(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
