@@ -197,7 +197,7 @@ def chain_rows(spark, d) -> DataFrame:
     """chains with each row_id once: the earliest loaded of its redelivered rows."""
     chains = table(spark, d, "chains")
     rest = [c for c in chains.columns if c != "row_id"]
-    return chains.groupBy("row_id").agg(F.min_by(F.struct(*rest), "loaded_at").alias("x")).select("row_id", "x.*")
+    return chains.groupBy("row_id").agg(F.min_by(F.struct(*rest), F.struct("loaded_at")).alias("x")).select("row_id", "x.*")
 
 
 @query("SELECT row_id, concat(source.variable, '_to_', sink.variable, '_', substr(sha256(concat_ws(chr(0), source.file, source.line::VARCHAR, sink.file, sink.line::VARCHAR, array_to_string(path, chr(0)))), 1, 20)) AS stable_id FROM " + _CHAINS + " WHERE path IS NOT NULL AND source.variable IS NOT NULL AND sink.variable IS NOT NULL")
@@ -417,7 +417,7 @@ _EVALS = "(SELECT DISTINCT ON (eval_id) * FROM file_evals_a ORDER BY eval_id, up
 def eval_rows(spark, d) -> DataFrame:
     evals = table(spark, d, "file_evals_a")
     rest = [c for c in evals.columns if c not in ("eval_id", "updated_at")]
-    return evals.groupBy("eval_id").agg(F.max_by(F.struct(*rest), "updated_at").alias("x")).select("eval_id", "x.*").where(~F.coalesce("is_deleted", F.lit(False)))
+    return evals.groupBy("eval_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at")).alias("x")).select("eval_id", "x.*").where(~F.coalesce("is_deleted", F.lit(False)))
 
 
 _SUMS = "coalesce(sum(found_tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp, coalesce(sum(fn), 0)::BIGINT AS fn"

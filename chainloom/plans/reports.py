@@ -10,7 +10,7 @@ SECTIONS = ("tp_matched", "fp_chains", "unclassified_chains")
 
 def reports(raw: DataFrame) -> DataFrame:
     """One parsed record for each report; redelivered rows count once."""
-    return raw.groupBy("report_id").agg(F.max_by("body", "loaded_at").alias("body")).select("report_id", once(parse_record(F.col("body"))).alias("report"))
+    return raw.groupBy("report_id").agg(F.max_by("body", F.struct("loaded_at")).alias("body")).select("report_id", once(parse_record(F.col("body"))).alias("report"))
 
 
 def files(raw: DataFrame) -> DataFrame:
