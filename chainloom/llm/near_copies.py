@@ -14,8 +14,7 @@ for the whole collection; frequent partitions get a higher threshold than rare o
 higher thresholds. Sample, layout and thresholds change only the cost: no pair is lost for any of them.
 
 Candidates are met in an equi-join of the probes. Its condition holds what a pair must have: sizes in proportion, and
-folded bit vectors at a Hamming distance that the threshold allows. The pairs that pass are checked with a longer
-vector and then exactly on the sets.
+folded bit vectors at a Hamming distance that the threshold allows. The pairs that pass are checked exactly on the sets.
 
 Defined results: a null text, and one too short for an n-gram, is in no pair; rows that repeat an id count once, with
 the least of their texts; records with equal sets are pairs with likeness 1; a pair has the smaller id first; an empty
@@ -32,12 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.lineage import cut
+from chainloom.operators.graph import components
 
 #: Buckets in which bits are counted, partitions, records in the sample, and the depths that are tried.
 BUCKETS, PARTS, SAMPLE, DEPTHS = 1 << 16, 10, 1_000, (1, 11, 21)
 #: Relative cost of writing a probe and of meeting a candidate.
 PROBE_COST, MEET_COST = 30.0, 1.0
-_SETS = "id long, class long, size int, bits array<long>, v0 long, v1 long"
+#: Words of 64 bits in the folded vectors.
+WORDS = 3
+VECTOR = [f"v{i}" for i in range(WORDS)]
+_SETS = "id long, class long, size int, bits array<long>, " + ", ".join(f"{v} long" for v in VECTOR)
 _U = np.uint64
 
 
@@ -74,11 +77,11 @@ def _sets(gram: int):
                 bits = _bits(text, gram)
                 if len(bits):
                     order = _mix(np.arange(1, len(bits) + 1, dtype=_U))
-                    fold = _fold(bits, 2)
-                    rows.append((key, int(np.bitwise_xor.reduce(_mix(bits * order)).view(np.int64)), len(bits), bits.view(np.int64), int(fold[0]), int(fold[1])))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types)], ["id", "class", "size", "bits", "v0", "v1"])
+                    fold = _fold(bits, WORDS)
+                    rows.append((key, int(np.bitwise_xor.reduce(_mix(bits * order)).view(np.int64)), len(bits), bits.view(np.int64), *fold.tolist()))
+            columns = list(zip(*rows)) if rows else [[]] * (4 + WORDS)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types)], ["id", "class", "size", "bits", *VECTOR])
 
     return run
 
@@ -207,50 +210,40 @@ def _probe_rows(layout: Layout):
                     n += len(h)
                 sizes.append(n)
             row = pa.array(np.repeat(np.arange(len(batch)), sizes))
-            own = [batch.column(i).take(row) for i in (1, 2, 4, 5)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(smalls)), *own], ["probe", "small", "class", "size", "v0", "v1"])
+            own = [batch.column(i).take(row) for i in (1, 2, *range(4, 4 + WORDS))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(smalls)), *own], ["probe", "small", "class", "size", *VECTOR])
 
     return run
 
 
-def _long_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        folds = [_fold(np.array(b, np.int64).view(_U), 8) for b in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tolist() for f in folds], type=pa.list_(pa.int64()))], ["class", "vector"])
-
-
 def _allowed(a: Column, b: Column, threshold: float) -> Column:
     """The most bits in which two sets of these sizes may differ."""
     return F.floor((a + b) * ((1 - threshold) / (1 + threshold)) + 1e-6)
 
 
 def classes(df: DataFrame, key: str, text: str, gram: int = 3) -> DataFrame:
-    """(id, class, size, bits, v0, v1): the set of each record; equal sets have one class."""
+    """(id, class, size, bits, vector): the set of each record; equal sets have one class."""
     own = df.where(F.col(text).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(text).alias("text"))
     return own.mapInArrow(_sets(gram), _SETS)
 
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(class_a, class_b, likeness), class_a < class_b: all pairs of different classes that reach the threshold."""
-    one = cut(sets.groupBy("class").agg(F.min_by(F.struct("id", "size", "bits", "v0", "v1"), "id").alias("x")).select(F.col("x.id").alias("id"), "class", "x.size", "x.bits", "x.v0", "x.v1"))
+    one = cut(sets.groupBy("class").agg(F.min_by(F.struct("id", "size", "bits", *VECTOR), "id").alias("x")).select("x.id", "class", "x.size", "x.bits", *[f"x.{v}" for v in VECTOR]))
     counted = one.select("bits").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS, np.int64)
     counts[counted.bucket.to_numpy(np.int64)] = counted.n.to_numpy(np.int64)
     sample = [np.array(r.bits, np.int64).view(_U) for r in one.select("bits", F.xxhash64("class").alias("h")).orderBy("h").limit(SAMPLE).collect()]
     layout = plan(counts, sample, one.count(), threshold)
-    probes = one.mapInArrow(_probe_rows(layout), "probe long, small boolean, class long, size int, v0 long, v1 long")
-    a = probes.where("small").select("probe", *[F.col(c).alias(f"{c}_a") for c in ("class", "size", "v0", "v1")])
-    b = probes.select("probe", *[F.col(c).alias(f"{c}_b") for c in ("class", "size", "v0", "v1")])
-    distance = F.bit_count(F.col("v0_a").bitwiseXOR(F.col("v0_b"))) + F.bit_count(F.col("v1_a").bitwiseXOR(F.col("v1_b")))
+    probes = one.mapInArrow(_probe_rows(layout), "probe long, small boolean, class long, size int, " + ", ".join(f"{v} long" for v in VECTOR))
+    a = probes.where("small").select("probe", *[F.col(c).alias(f"{c}_a") for c in ("class", "size", *VECTOR)])
+    b = probes.select("probe", *[F.col(c).alias(f"{c}_b") for c in ("class", "size", *VECTOR)])
+    distance = sum((F.bit_count(F.col(f"{v}_a").bitwiseXOR(F.col(f"{v}_b"))) for v in VECTOR), F.lit(0))
     smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("class_a") < F.col("class_b")))
     near = smaller & (F.col("size_b") * threshold <= F.col("size_a") + 1e-6) & (distance <= _allowed(F.col("size_a"), F.col("size_b"), threshold))
     met = a.join(b, (a["probe"] == b["probe"]) & near).select("class_a", "class_b", "size_a", "size_b").distinct()
-    vectors = one.select("class", "bits").mapInArrow(_long_vectors, "class long, vector array<long>")
-    side = lambda x: vectors.select(F.col("class").alias(f"class_{x}"), F.col("vector").alias(f"vector_{x}"))
-    far = F.aggregate(F.zip_with("vector_a", "vector_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    kept = met.join(side("a"), "class_a").join(side("b"), "class_b").where(far <= _allowed(F.col("size_a"), F.col("size_b"), threshold)).select("class_a", "class_b", "size_a", "size_b")
     bits = lambda x: one.select(F.col("class").alias(f"class_{x}"), F.col("bits").alias(f"bits_{x}"))
-    shared = kept.join(bits("a"), "class_a").join(bits("b"), "class_b").select("class_a", "class_b", "size_a", "size_b", F.size(F.array_intersect("bits_a", "bits_b")).alias("shared"))
+    shared = met.join(bits("a"), "class_a").join(bits("b"), "class_b").select("class_a", "class_b", "size_a", "size_b", F.size(F.array_intersect("bits_a", "bits_b")).alias("shared"))
     likeness = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     low, high = F.least("class_a", "class_b"), F.greatest("class_a", "class_b")
     return shared.where(likeness >= threshold - 1e-9).select(low.alias("class_a"), high.alias("class_b"), likeness.alias("likeness"))
@@ -258,8 +251,9 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, gram: int = 3) -> DataFrame:
     """(id_a, id_b, likeness), id_a < id_b: all pairs of records, copies included."""
-    sets = cut(classes(df, key, text, gram))
-    pairs = similar_classes(sets, threshold)
+    # Sets are made again for the second use, which costs less than to write them.
+    pairs = similar_classes(classes(df, key, text, gram), threshold)
+    sets = cut(classes(df, key, text, gram).select("id", "class"))
     own = lambda x: sets.select(F.col("class").alias(f"class_{x}"), F.col("id").alias(f"id_{x}"))
     several = sets.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("class_a"))
     copies = own("a").join(several, "class_a", "left_semi").join(own("b"), F.col("class_a") == F.col("class_b")).where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("likeness"))
@@ -270,26 +264,10 @@ def similar_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.7, gr
 def similar_groups(df: DataFrame, key: str, text: str, threshold: float = 0.7, gram: int = 3) -> DataFrame:
     """(key, class, group_id, links): one row for each record. group_id is the least class of all that a chain of
     similar pairs connects; links counts the classes that are similar to the record's own."""
-    sets = cut(classes(df, key, text, gram)).select("id", "class")
-    pairs = cut(similar_classes(cut(classes(df, key, text, gram)), threshold).select("class_a", "class_b"))
+    sets = cut(classes(df, key, text, gram).select("id", "class"))
+    pairs = cut(similar_classes(classes(df, key, text, gram), threshold).select("class_a", "class_b"))
     both = pairs.unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
-    labels = connected(both)
+    labels = components(pairs.select(F.col("class_a").alias("src"), F.col("class_b").alias("dst"))).select(F.col("node").alias("class"), F.col("component").alias("group_id"))
     links = both.groupBy(F.col("class_a").alias("class")).agg(F.count(F.lit(1)).alias("links"))
     rows = sets.join(labels, "class", "left").join(links, "class", "left")
     return rows.select(F.col("id").alias(key), "class", F.coalesce("group_id", "class").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(class, group_id): the least member of each connected component of edges (class_a, class_b), both ways round.
-
-    Labels hop along edges and then along labels, which halves the distance each round; ends when none changes.
-    """
-    labels = cut(edges.groupBy(F.col("class_a").alias("class")).agg(F.least(F.min("class_b"), F.min("class_a")).alias("group_id")))
-    while True:
-        near = edges.join(labels, F.col("class_b") == F.col("class")).groupBy("class_a").agg(F.min("group_id").alias("near"))
-        moved = labels.join(near, F.col("class") == F.col("class_a")).select("class", F.least("group_id", "near").alias("hop"), F.col("group_id").alias("old"))
-        jump = labels.select(F.col("class").alias("hop"), F.col("group_id").alias("jump"))
-        new = cut(moved.join(jump, "hop", "left").select("class", F.least("hop", "jump").alias("group_id"), "old"))
-        if new.where("group_id <> old").isEmpty():
-            return new.select("class", "group_id")
-        labels = new.drop("old")
