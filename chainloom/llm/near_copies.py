@@ -5,7 +5,7 @@ A text is a set of bits, one for each n-gram in it. Equal sets become one class,
 ordered from rare to frequent by counts over all records. If two sets of a and b bits share at least o bits, then the
 rarest a - o + l bits of the one and b - o + l of the other share at least l (l: the depth). Bits are divided into
 partitions, and with thresholds t of the partitions for which the sum of (t - 1) is l - 1, at least one partition has
-t shared bits: the generalised pigeonhole. The probe of a partition is each combination of t of the set's bits in it.
+t shared bits: the generalised pigeonhole (pairs that need to share fewer than l bits meet by single bits). The probe of a partition is each combination of t of the set's bits in it.
 
 Correlated bits (n-grams of one word) are found on a bounded sample of SAMPLE records and grouped, and the bits of a
 group are dealt to the partitions in turn, because two of them in one combination would say no more than one. The
@@ -126,7 +126,16 @@ class Layout:
         return min(size, size - overlap(size, size, self.threshold) + depth), min(size, size - math.ceil(self.threshold * size - 1e-9) + depth)
 
     def probes(self, ordered: np.ndarray, depth: int, thresholds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(partition, hash of each combination, whether the smaller set of a pair needs it)."""
+        """(partition, hash of each combination, whether the smaller set of a pair needs it).
+
+        Pairs that need to share fewer bits than the depth, so pairs of small sets, meet by single bits instead.
+        """
+        if len(ordered) >= depth:
+            yield from self._probes(ordered, depth, thresholds, 0)
+        if math.ceil(self.threshold * len(ordered) - 1e-9) < depth:
+            yield from self._probes(ordered, 1, np.ones(PARTS, np.int64), PARTS)
+
+    def _probes(self, ordered: np.ndarray, depth: int, thresholds: np.ndarray, salt: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         small, large = self.prefixes(len(ordered), depth)
         own = ordered[:large]
         part = self.part[(own % _U(BUCKETS)).astype(np.int64)]
@@ -135,7 +144,7 @@ class Layout:
             t = int(thresholds[p])
             if len(at) >= t:
                 chosen = at[self.combinations(len(at), t)]
-                h = np.full(len(chosen), p + 1, _U)
+                h = np.full(len(chosen), p + salt + 1, _U)
                 for i in range(t):
                     h = _mix(h + own[chosen[:, i]])
                 yield p, h, chosen[:, -1] < small
@@ -233,8 +242,11 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     counted = one.select("bits").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS, np.int64)
     counts[counted.bucket.to_numpy(np.int64)] = counted.n.to_numpy(np.int64)
-    sample = [np.array(r.bits, np.int64).view(_U) for r in one.select("bits", F.xxhash64("class").alias("h")).orderBy("h").limit(SAMPLE).collect()]
-    layout = plan(counts, sample, one.count(), threshold)
+    records = one.count()
+    # Few more than SAMPLE records pass the filter, however many partitions there are, so no more reach the driver.
+    drawn = F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(min(1.0, 1.3 * SAMPLE / max(1, records)) * (1 << 30))
+    sample = [np.array(r.bits, np.int64).view(_U) for r in one.where(drawn).select("bits", F.xxhash64("class").alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    layout = plan(counts, sample, records, threshold)
     probes = one.mapInArrow(_probe_rows(layout), "probe long, small boolean, class long, size int, " + ", ".join(f"{v} long" for v in VECTOR))
     a = probes.where("small").select("probe", *[F.col(c).alias(f"{c}_a") for c in ("class", "size", *VECTOR)])
     b = probes.select("probe", *[F.col(c).alias(f"{c}_b") for c in ("class", "size", *VECTOR)])
