@@ -1,7 +1,7 @@
 """Graphs as edge tables (src, dst): bounded reachability, slices, shortest paths, components.
 
 Every traversal is a loop of joins in which only the frontier moves; what was seen is removed by an anti-join, and the
-lineage is cut each round. Rounds are bounded by the number of hops, for components by the logarithm of the diameter.
+lineage is cut each round. Rounds are bounded by the number of hops, for components by the logarithm of the nodes.
 
 Defined results: null ends are no edge; loops and repeated edges change nothing; a source that is a sink reaches itself
 in 0 hops; nodes without edges reach only themselves; an empty graph gives only that.
@@ -89,22 +89,37 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, bound: int) -> DataFrame:
     return pairs.join(seen, (F.col("source") == F.col("start")) & (F.col("sink") == F.col("node"))).select("source", "sink", "path")
 
 
+def _large_star(stars: DataFrame) -> DataFrame:
+    """Every node links its larger neighbours to the least node that it knows."""
+    both = stars.unionByName(turned(stars))
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"))
+    return both.where(F.col("dst") > F.col("src")).join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
+
+
+def _small_star(stars: DataFrame) -> DataFrame:
+    """Every node links itself and its smaller neighbours to the least of these; src is the larger end."""
+    least = stars.groupBy("src").agg(F.min("dst").alias("least"))
+    inner = stars.join(least, "src").where(F.col("dst") != F.col("least")).select(F.col("dst").alias("src"), F.col("least").alias("dst"))
+    return inner.unionByName(least.select("src", F.col("least").alias("dst")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least member of each weakly connected component.
 
-    Labels hop along edges and then along labels, which about halves the distance each round; ends when none changes.
+    Large-star and small-star steps in turn, which need a number of rounds that grows with the logarithm of the number
+    of nodes, however long the paths are; ends when the edges, whose number never grows, stay the same.
     """
     rows = edges.where("src is not null and dst is not null").select("src", "dst")
-    both = cut(rows.unionByName(turned(rows)).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component")))
+    larger = rows.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    loops = larger.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    stars, before = cut(larger.where("src <> dst").distinct()), None
     while True:
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
-        moved = labels.join(near, F.col("node") == F.col("src")).select("node", F.least("component", "near").alias("hop"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("hop"), F.col("component").alias("jump"))
-        new = cut(moved.join(jump, "hop", "left").select("node", F.least("hop", "jump").alias("component"), "old"))
-        if new.where("component <> old").isEmpty():
-            return new.select("node", "component")
-        labels = new.drop("old")
+        state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        stars, before = cut(_small_star(_large_star(stars).distinct()).distinct()), state
+    members = stars.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(stars.select(F.col("dst").alias("node"), F.col("dst").alias("component")))
+    return members.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def ranked_pairs(pairs: DataFrame, k: int) -> DataFrame:
