@@ -166,3 +166,38 @@ def static_sanitizers(files: DataFrame) -> DataFrame:
 def redacted(text: Column) -> Column:
     """The text with the values of passwords, tokens and keys struck out."""
     return F.regexp_replace(text, SECRET, "$1$2***")
+
+
+def first_occurrences(files: DataFrame) -> DataFrame:
+    """(file, variable, line_number, line): where each variable stands first."""
+    rows = lines(files).select("file", "line_number", "line", F.explode(names_in(F.col("line"))).alias("variable"))
+    return rows.groupBy("file", "variable").agg(F.min(F.struct("line_number", "line")).alias("x")).select("file", "variable", "x.*")
+
+
+def owned_calls(files: DataFrame) -> DataFrame:
+    """(file, line_number, method, arguments, owner, parameters): calls of functions that exactly one file defines.
+
+    Names that several files define are ambiguous and are left out before the join, so the owners' side has one row
+    for each name.
+    """
+    once = functions(files).groupBy("function_name").agg(F.count_distinct("file").alias("n"), F.min(F.struct("file", "start_line", "parameters")).alias("x"))
+    owners = once.where("n = 1").select(F.col("function_name").alias("method"), F.col("x.file").alias("owner"), F.col("x.parameters").alias("parameters"))
+    return calls(files).join(owners, "method").select("file", "line_number", "method", "arguments", "owner", "parameters")
+
+
+def call_bridges(files: DataFrame) -> DataFrame:
+    """(file, line_number, method, argument, owner, parameter): the variables of a call and, by position, the parameters
+    of the function in another file that they become. The shorter of both lists decides."""
+    named = lambda x, at: F.transform(F.split(F.regexp_replace(x, r'"[^"]*"', '""'), ","), lambda p: F.regexp_extract(p, at, 1))
+    rows = owned_calls(files).where("file <> owner")
+    pairs = F.arrays_zip(named("arguments", rf"({NAME})").alias("argument"), named("parameters", rf"({NAME})\s*$").alias("parameter"))
+    return rows.select("file", "line_number", "method", "owner", F.explode(pairs).alias("x")).select("file", "line_number", "method", "x.argument", "owner", "x.parameter").where("argument <> '' and parameter <> ''")
+
+
+def statement_of(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, from_var, to_var, line_number): the first line on which both ends of an edge stand: an inverted index of
+    variables joined with itself on the line, but only for the variables of edges."""
+    index = lines(files).select("file", "line_number", F.explode(names_in(F.col("line"))).alias("variable"))
+    a = edges.select("file", "from_var", "to_var").distinct().join(index.withColumnRenamed("variable", "from_var"), ["file", "from_var"])
+    both = a.join(index.withColumnRenamed("variable", "to_var"), ["file", "to_var", "line_number"])
+    return both.groupBy("file", "from_var", "to_var").agg(F.min("line_number").alias("line_number"))

@@ -187,6 +187,42 @@ def json_entries(spark, d):
     return table(spark, d, "events").select("event_id", parsed["k"].alias("k")).where("k >= 1")
 
 
+@query(f"SELECT file, from_var, to_var, coalesce(array_to_string(list_sort(list_distinct(list(function_name) FILTER (WHERE function_name IS NOT NULL))), ','), '') AS functions, min(line_number) AS line_number, count(*) AS n FROM ({SQL['flows_in_functions']}) GROUP BY file, from_var, to_var")
+def flow_graph(spark, d):
+    """One edge for each pair of variables of a file; the functions in which it stands add up."""
+    flows = source_text.in_functions(all_flows(spark, d), source_text.functions(java_files(spark, d)))
+    return flows.groupBy("file", "from_var", "to_var").agg(F.array_join(F.sort_array(F.collect_set("function_name")), ",").alias("functions"), F.min("line_number").alias("line_number"), F.count(F.lit(1)).alias("n"))
+
+
+_INDEX = f"(SELECT file, line_number, line, unnest({_NAMES('line')}) AS variable FROM {_LINES})"
+
+
+@query(f"SELECT file, variable, min(line_number) AS line_number, min_by(line, line_number) AS line FROM {_INDEX} GROUP BY file, variable")
+def first_occurrences(spark, d):
+    return source_text.first_occurrences(java_files(spark, d))
+
+
+_OWNED = f"(SELECT c.file, c.line_number, c.method, c.arguments, o.owner, o.parameters FROM {_CALLS} c JOIN (SELECT function_name, min(file) AS owner, min_by(parameters, start_line) AS parameters FROM {_FUNCTIONS} GROUP BY function_name HAVING count(DISTINCT file) = 1) o ON c.method = o.function_name)"
+
+
+@query(f"SELECT file, line_number, method, arguments, owner FROM {_OWNED}")
+def owned_calls(spark, d):
+    return source_text.owned_calls(java_files(spark, d)).drop("parameters")
+
+
+_ZIP = f"list_zip(list_transform(string_split({_NO_TEXT('arguments')}, ','), lambda p: regexp_extract(p, {quoted(f'({_NAME})')}, 1)), list_transform(string_split(parameters, ','), lambda p: regexp_extract(p, {quoted(f'({_NAME})' + chr(92) + 's*$')}, 1)))"
+
+
+@query(f"SELECT file, line_number, method, x[1] AS argument, owner, x[2] AS parameter FROM (SELECT file, line_number, method, owner, unnest({_ZIP}) AS x FROM {_OWNED} WHERE file <> owner) WHERE x[1] <> '' AND x[2] <> ''")
+def call_bridges(spark, d):
+    return source_text.call_bridges(java_files(spark, d))
+
+
+@query(f"SELECT e.file, e.from_var, e.to_var, min(a.line_number) AS line_number FROM (SELECT DISTINCT file, from_var, to_var FROM {_FLOWS} WHERE from_var <> to_var) e JOIN {_INDEX} a ON a.file = e.file AND a.variable = e.from_var JOIN {_INDEX} b ON b.file = e.file AND b.variable = e.to_var AND a.line_number = b.line_number GROUP BY e.file, e.from_var, e.to_var")
+def statement_of_edge(spark, d):
+    return source_text.statement_of(all_flows(spark, d), java_files(spark, d))
+
+
 # --- chains ----------------------------------------------------------------------------------------------------------
 
 _CHAINS = "(SELECT DISTINCT ON (row_id) * FROM chains ORDER BY row_id, loaded_at)"
@@ -303,6 +339,34 @@ def source_discovery(spark, d):
     return chain_rows(spark, d).where(F.col("file").isNotNull() & ~F.col("file").rlike(_TEST) & ~F.col("file").rlike(_SKIP)).groupBy("file").agg(F.count(F.lit(1)).alias("chains"))
 
 
+@query(f"SELECT row_id, (len(list_filter(a, lambda x: NOT list_contains(b, x))) + len(list_filter(b, lambda x: NOT list_contains(a, x))))::DOUBLE / greatest(length(sv), length(kv), 1) AS distance FROM (SELECT row_id, source.variable AS sv, sink.variable AS kv, list_distinct(string_split(source.variable, '')) AS a, list_distinct(string_split(sink.variable, '')) AS b FROM {_CHAINS} WHERE source.variable <> '' AND sink.variable <> '')")
+def name_distance(spark, d):
+    """Letters that only one of two names has, by the longer name: the fall-back heuristic of path search."""
+    rows = chain_rows(spark, d).select("row_id", F.col("source.variable").alias("sv"), F.col("sink.variable").alias("kv")).where("sv <> '' and kv <> ''")
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    apart = F.size(F.array_except(letters("sv"), letters("kv"))) + F.size(F.array_except(letters("kv"), letters("sv")))
+    return rows.select("row_id", (apart / F.greatest(F.length("sv"), F.length("kv"), F.lit(1))).alias("distance"))
+
+
+@query(f"SELECT row_id, round(0.4 * c + 0.5 * v + 0.1 * greatest(0.5, 1 - 0.05 * (n - 2)) * CASE WHEN same THEN 0.5 ELSE 1 END * CASE WHEN n <= 2 THEN 0.8 ELSE 1 END, 6)::DOUBLE AS overall FROM (SELECT row_id, ({_UNIT})::DOUBLE AS c, (CASE section WHEN 'tp_matched' THEN 0.95 WHEN 'fp_chains' THEN 0.1 ELSE 0.6 END)::DOUBLE AS v, len(path) AS n, source.variable = sink.variable AS same FROM {_CHAINS} WHERE len(path) > 0) WHERE c IS NOT NULL AND same IS NOT NULL")
+def overall_confidence(spark, d):
+    """Confidence of the finding, of its verification and of its path, which falls with length, weighted."""
+    rows = chain_rows(spark, d).where(F.size("path") > 0).select("row_id", rules.unit_confidence(F.col("confidence")).alias("c"), F.when(F.col("section") == "tp_matched", 0.95).when(F.col("section") == "fp_chains", 0.1).otherwise(0.6).alias("v"), F.size("path").alias("n"), (F.col("source.variable") == F.col("sink.variable")).alias("same"))
+    path = F.greatest(F.lit(0.5), 1 - 0.05 * (F.col("n") - 2)) * F.when(F.col("same"), 0.5).otherwise(1.0) * F.when(F.col("n") <= 2, 0.8).otherwise(1.0)
+    return rows.where("c is not null and same is not null").select("row_id", F.round(0.4 * F.col("c") + 0.5 * F.col("v") + 0.1 * path, 6).alias("overall"))
+
+
+@query(f"SELECT vuln_type, tp, fp, fn, {'round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 4)'} AS precision, {'round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 4)'} AS recall FROM (SELECT vuln_type, count(*) FILTER (WHERE detected AND vulnerable) AS tp, count(*) FILTER (WHERE detected AND NOT vulnerable) AS fp, count(*) FILTER (WHERE NOT detected AND vulnerable) AS fn FROM (SELECT project, file, vuln_type, bool_or(detected) AS detected, bool_or(vulnerable) AS vulnerable FROM (SELECT project, file, vuln_type, true AS detected, false AS vulnerable FROM chains WHERE backend = 'static' UNION ALL SELECT project, file, vuln_type, false, true FROM tp_labels) GROUP BY project, file, vuln_type) GROUP BY vuln_type)")
+def confusion_by_kind(spark, d):
+    """One prediction for each case (project, file, kind): whether any finding of the kind is there, against labels."""
+    side = lambda df, a, b: df.select("project", "file", "vuln_type", F.lit(a).alias("detected"), F.lit(b).alias("vulnerable"))
+    rows = side(table(spark, d, "chains").where("backend = 'static'"), True, False).unionByName(side(table(spark, d, "tp_labels"), False, True))
+    cases = rows.groupBy("project", "file", "vuln_type").agg(F.bool_or("detected").alias("detected"), F.bool_or("vulnerable").alias("vulnerable"))
+    n = lambda c: F.count(F.when(c, 1))
+    counts = cases.groupBy("vuln_type").agg(n(F.col("detected") & F.col("vulnerable")).alias("tp"), n(F.col("detected") & ~F.col("vulnerable")).alias("fp"), n(~F.col("detected") & F.col("vulnerable")).alias("fn"))
+    return counts.select("*", rules.ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), rules.ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+
+
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 # A node is a variable of a project. Sources are the sources of true positives, sinks those of the same; 3 hops.
@@ -388,11 +452,12 @@ def label_rows(spark, d) -> DataFrame:
     return labels.groupBy("label_key").agg(F.min(F.struct(*rest)).alias("x")).select("label_key", "x.*")
 
 
-@query(f"SELECT l.label_key, c.row_id FROM {_LABELS} l JOIN {_CHAINS} c ON l.project = c.project AND l.sink_var = c.sink.variable AND abs(l.sink_line - c.sink.line) <= 5")
+@query(f"SELECT l.label_key, f.finding_key FROM {_LABELS} l JOIN (SELECT DISTINCT finding_key, project_name, sink_name, sink_at FROM scan_findings) f ON l.project = f.project_name AND l.sink_var = f.sink_name AND abs(l.sink_line - f.sink_at) <= 5")
 def label_band_match(spark, d):
-    a = label_rows(spark, d).select("label_key", "project", "sink_var", F.col("sink_line").alias("label_line"))
-    b = chain_rows(spark, d).select("row_id", "project", F.col("sink.variable").alias("sink_var"), F.col("sink.line").alias("chain_line"))
-    return matching.band_join(a, b, ["project", "sink_var"], "label_line", "chain_line", 5).select("label_key", "row_id")
+    """Findings at most 5 lines from a label's sink, by the names as they are written."""
+    a = label_rows(spark, d).select("label_key", "project", "sink_var", "sink_line")
+    b = table(spark, d, "scan_findings").select("finding_key", F.col("project_name").alias("project"), F.col("sink_name").alias("sink_var"), "sink_at").distinct()
+    return matching.band_join(a, b, ["project", "sink_var"], "sink_line", "sink_at", 5).select("label_key", "finding_key")
 
 
 @query("SELECT p.file_path, max_by(l.file, (length(l.file), l.file)) AS file FROM (SELECT DISTINCT file_path FROM scan_findings WHERE file_path IS NOT NULL) p JOIN (SELECT DISTINCT file FROM tp_labels WHERE file IS NOT NULL) l ON lower(replace(p.file_path, chr(92), '/')) = lower(l.file) OR ends_with(lower(replace(p.file_path, chr(92), '/')), '/' || lower(l.file)) GROUP BY p.file_path")

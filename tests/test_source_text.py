@@ -48,3 +48,15 @@ def test_sanitizers_and_secrets(spark):
 def test_unicode_words(spark):
     assert {r.variable for r in source_text.variables(files(spark, "für prüfung ab")).collect()} == {"ab"}
     assert source_text.lines(files(spark)).count() == 0
+
+
+def test_bridges_need_one_owner(spark):
+    a = 'public void go() {\n  helper.push(name + "q", 3, extra);\n  helper.two(name);\n}'
+    b = "public void push(String first, int second) {\n}\npublic void two(String x) {\n}"
+    c = "public void two(String x) {\n}"
+    got = source_text.call_bridges(files(spark, a, b, c)).collect()
+    assert [(r.file, r.line_number, r.method, r.argument, r.owner, r.parameter) for r in got] == [(0, 2, "push", "name", 1, "first")]
+    first = {r.variable: r.line_number for r in source_text.first_occurrences(files(spark, a)).collect()}
+    assert first["name"] == 2 and first["go"] == 1
+    edge = spark.createDataFrame([(0, "name", "helper"), (0, "name", "nowhere")], "file int, from_var string, to_var string")
+    assert [tuple(r) for r in source_text.statement_of(edge, files(spark, a)).collect()] == [(0, "name", "helper", 2)]
