@@ -64,4 +64,18 @@ def _p5_sql(values: bool) -> str:
     return f"WITH a AS ({side.format('file_evals_a')}), b AS ({side.format('file_evals_b')}) " + " UNION ALL ".join(parts)
 
 
-SQL = {"p5_found": _p5_sql(False), "p5_diff": _p5_sql(True)}
+_TEXT = "ltrim(replace(body, chr(65279), ''))"
+_LIST = "CASE WHEN json_type(({0})) = 'ARRAY' THEN ({0}) WHEN ({0}) IS NULL OR json_type(({0})) = 'NULL' THEN '[]'::JSON ELSE json_array(({0})) END"
+_ENTRIES = f"""WITH once AS (SELECT report_id, max(body) AS body FROM hybrid_reports GROUP BY report_id),
+parsed AS (SELECT report_id, CASE WHEN {_TEXT} LIKE '"%' THEN json_extract_string({_TEXT}::JSON, '$')::JSON ELSE {_TEXT}::JSON END AS report FROM once WHERE json_valid({_TEXT})),
+files AS (SELECT report_id, CASE WHEN json_type(report, '$.files') = 'ARRAY' THEN e.value->>'$.file' ELSE e.key END AS file, e.value AS record FROM parsed, json_each(report, '$.files') e),
+sections AS (SELECT report_id, file, section, record->section AS list FROM files, (SELECT unnest(['tp_matched', 'fp_chains', 'unclassified_chains']) AS section)),
+entries AS (SELECT report_id, file, section, (n - 1)::INT AS entry_no, list[n] AS entry FROM (SELECT *, unnest(range(1, len(list) + 1)) AS n FROM (SELECT report_id, file, section, ({_LIST.format("list")})::JSON[] AS list FROM sections))),
+chains AS (SELECT *, CASE WHEN json_type(entry, '$.chain') = 'OBJECT' THEN entry->'$.chain' ELSE entry END AS chain FROM entries)"""
+_P6 = f"""{_ENTRIES}, items AS (
+SELECT report_id, file, section, entry_no, 'path' AS item, list_transform(({_LIST.format("chain->'$.path'")})::JSON[], lambda x: CASE WHEN json_type(x) = 'OBJECT' THEN json_extract_string(x, '$.variable') ELSE json_extract_string(x, '$') END) AS vals FROM chains
+UNION ALL SELECT report_id, file, section, entry_no, 'tp_id', [json_extract_string(entry, '$.tp.id')] FROM chains
+UNION ALL SELECT report_id, file, section, entry_no, 'fp_reason', list_transform(({_LIST.format("entry->'$.fp_pattern'")})::JSON[], lambda x: json_extract_string(x, '$.reason')) FROM chains)
+SELECT report_id, file, section, entry_no, item, (n - 1)::INT AS item_no, vals[n] AS item_value FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS n FROM items) WHERE vals[n] <> ''"""
+
+SQL = {"p5_found": _p5_sql(False), "p5_diff": _p5_sql(True), "p6_found": _P6}
