@@ -82,4 +82,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p3_found, p3_pairs, p4_found, p4_groups, p7_ids, p8_mix, p8_shares, p8_order, p9_found, p9_shared)}
-SQL: dict[str, str] = {}
+_GRAMS = "(SELECT row_id, list_distinct(list_transform(range(1, length(joined) - 1), lambda i: substr(joined, i, 3))) AS grams FROM (SELECT DISTINCT ON (row_id) row_id, lower(array_to_string(path, ' ')) AS joined FROM chains WHERE len(path) >= 6 AND ((backend = 'hybrid' AND section = 'tp_matched') OR (backend = 'llm' AND section = 'unclassified_chains')) ORDER BY row_id, joined))"
+SQL: dict[str, str] = {
+    "p4_found": f"WITH t AS MATERIALIZED {_GRAMS} SELECT row_id_a, row_id_b FROM (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, len(a.grams) + len(b.grams) AS total, len(list_intersect(a.grams, b.grams)) AS shared FROM t a JOIN t b ON a.row_id < b.row_id AND len(a.grams) >= 0.7 * len(b.grams) AND len(b.grams) >= 0.7 * len(a.grams)) WHERE shared >= 0.7 * (total - shared)",
+}
