@@ -73,11 +73,12 @@ def reachable_pairs(edges: DataFrame, sources: DataFrame, sinks: DataFrame, boun
     return found.select(F.col("start").alias("source"), F.col("node").alias("sink"), "hops")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, bound: int) -> DataFrame:
-    """(source, sink, path): for each pair (source, sink) the shortest path of at most bound hops, of equally short
-    ones the least by its nodes. One path is kept for each (source, node), so no set of paths grows."""
-    steps = cut(simple_edges(edges))
-    frontier = pairs.select(F.col("source").alias("start")).distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path"))
+def shortest_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, bound: int) -> DataFrame:
+    """(source, sink, path): for each source the shortest path of at most bound hops to each sink that it reaches, of
+    equally short ones the least by its nodes. Only the slice is walked, and one path is kept for each (source, node),
+    so no set of paths grows."""
+    steps = cut(known_edges(simple_edges(edges), cut(taint_slice(edges, sources, sinks, bound))))
+    frontier = sources.where("node is not null").select("node").distinct().select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
     seen = frontier = cut(frontier)
     for _ in range(bound):
         met = frontier.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
@@ -86,7 +87,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, bound: int) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return pairs.join(seen, (F.col("source") == F.col("start")) & (F.col("sink") == F.col("node"))).select("source", "sink", "path")
+    return seen.join(sinks.select("node").distinct(), "node", "left_semi").select(F.col("start").alias("source"), F.col("node").alias("sink"), "path")
 
 
 def _large_star(stars: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainloom.functions.lineage import cut
+
 FLAT = "series bigint, file_id bigint, at timestamp, section string, record_no int, label string, field string, type string, value string"
 #: Rounds of propagation at most, and the change of scores below which they have settled.
 ROUNDS, SETTLED = 30, 1e-3
@@ -187,8 +189,8 @@ def renames(flat: DataFrame, compared: DataFrame) -> DataFrame:
 
 def schema_changes(flat: DataFrame) -> DataFrame:
     """(series, file_id, field, change, old_field): added, removed, renamed and type_changed against the file before."""
-    compared = schema_pairs(flat)
-    named = renames(flat, compared).select("series", "file_id", "old_field", "field")
+    compared = cut(schema_pairs(flat))
+    named = cut(renames(flat, compared).select("series", "file_id", "old_field", "field"))
     keys = ["series", "file_id", "field"]
     gone = compared.where("now is null").join(named.select("series", "file_id", F.col("old_field").alias("field")), keys, "left_anti")
     come = compared.where("was is null").join(named.select(*keys), keys, "left_anti")

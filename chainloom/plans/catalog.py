@@ -430,9 +430,7 @@ def graph_induced(spark, d):
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_EDGES}), p(start, node, path) AS (SELECT node, node, [node] FROM {_STARTS} UNION ALL SELECT p.start, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON p.node = e.src WHERE len(p.path) < 5 AND NOT list_contains(p.path, e.dst))
 SELECT start AS source, node AS sink, path FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY len(path), path) AS rn FROM p WHERE node IN (SELECT node FROM {_ENDS})) WHERE rn = 1""")
 def graph_shortest_paths(spark, d):
-    edges, starts, ends = path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True)
-    pairs = graph.reachable_pairs(edges, starts, ends, 4).select("source", "sink")
-    return graph.shortest_paths(edges, pairs, 4)
+    return graph.shortest_paths(path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True), 4)
 
 
 @query()

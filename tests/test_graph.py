@@ -25,7 +25,9 @@ def test_against_brute_force(spark):
         ends = spark.createDataFrame([("c",), ("a",)], "node string")
         pairs = graph.reachable_pairs(df, starts, ends, bound)
         assert {(r.source, r.sink): r.hops for r in pairs.collect()} == {k: v for k, v in want.items() if k[1] in "ca"}
-        for r in graph.shortest_paths(df, pairs.select("source", "sink"), bound).collect():
+        paths = graph.shortest_paths(df, starts, ends, bound).collect()
+        assert {(r.source, r.sink) for r in paths} == {k for k in want if k[1] in "ca"}
+        for r in paths:
             assert len(r.path) - 1 == want[r.source, r.sink] and all(e in edges for e in zip(r.path, r.path[1:]))
 
 
