@@ -6,9 +6,11 @@ Defined results: null keys match nothing; repeated rows match again; of equal ca
 tables give what their join kind says.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.operators.ordering import running_sum
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by the given order: aggregates a struct, so hot keys are reduced before the shuffle."""
@@ -52,5 +54,4 @@ def overlay(base: DataFrame, update: DataFrame, key: str) -> DataFrame:
 
 def running_cut(df: DataFrame, group: str, order: list[str], size: str, budget: float) -> DataFrame:
     """Rows of each group in order, as long as the running size stays within the budget."""
-    upto = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("running", upto).where(F.col("running") <= budget)
+    return running_sum(df, group, order, size, "running").where(F.col("running") <= budget)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainloom.functions import rules
-from chainloom.operators import graph, matching, source_text
+from chainloom.operators import graph, matching, ordering, source_text
 from chainloom.sources.tables import table
 from chainloom.streaming import incremental
 
@@ -137,7 +137,8 @@ def source_dedup(spark, d):
 @query(f"SELECT doc_id, coalesce(regexp_matches(text, {quoted(source_text.RELEVANT)}), false) AS relevant, row_number() OVER (PARTITION BY source ORDER BY coalesce(regexp_matches(text, {quoted(source_text.RELEVANT)}), false) DESC, doc_id)::INT AS place FROM documents")
 def file_relevance(spark, d):
     relevant = F.coalesce(F.col("text").rlike(source_text.RELEVANT), F.lit(False))
-    return table(spark, d, "documents").select("doc_id", relevant.alias("relevant"), F.row_number().over(Window.partitionBy("source").orderBy(relevant.desc(), "doc_id")).alias("place"))
+    rows = table(spark, d, "documents").select("doc_id", "source", relevant.alias("relevant"), (~relevant).alias("later"))
+    return ordering.running_sum(rows, "source", ["later", "doc_id"], None, "place").select("doc_id", "relevant", F.col("place").cast("int").alias("place"))
 
 
 @query(f"SELECT doc_id, regexp_replace(text, {quoted(source_text.SECRET)}, '\\1\\2***', 'g') AS text FROM documents WHERE regexp_matches(text, {quoted(source_text.SECRET)})")
