@@ -55,7 +55,7 @@ def declared_types(spark, d):
     return last.withColumn("untrusted", F.col("declared_type").rlike(_OUTSIDE))
 
 
-_CONDITION = r"\b(?:if|for|while)\s*\((.*)\)"
+_CONDITION = r"\b(?:if|for|while)\s*\((.*?)\)\s*(?:\{|$|[A-Za-z_])"
 
 
 @query(f"SELECT file, variable, count(*) AS n, min(line_number) AS line_number FROM (SELECT file, line_number, unnest({_NAMES(_NO_TEXT(f'regexp_extract(line, {quoted(_CONDITION)}, 1)'))}) AS variable FROM {_LINES} WHERE regexp_matches(line, {quoted(_CONDITION)})) GROUP BY file, variable")

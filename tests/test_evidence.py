@@ -65,7 +65,7 @@ def test_unique_suffix(spark, folder):
     assert got == {"p/A.java": (2, None)}
 
 
-def test_declared_types_last_wins(spark, folder):
+def test_declarations_and_conditions(spark, folder):
     assert evidence.declared_types(spark, folder).collect() == []
     assert [(r.variable, r.n) for r in evidence.condition_loops(spark, folder).collect()] == [("in", 1)]
 

@@ -3,12 +3,12 @@
 from chainloom.sources import files
 
 
-def test_sources_are_decoded(spark, tmp_path):
+def test_sources_are_decoded_and_empty_files_have_no_row(spark, tmp_path):
     (tmp_path / "a").mkdir()
     for name, content in {"a/One.java": "class Öne {}\r\n".encode(), "Two.java": b"x\0y", "Three.java": b"a\xffb", "Empty.java": b"", "notes.txt": b"no"}.items():
         (tmp_path / name).write_bytes(content)
     got = {r.file.rsplit("/", 1)[1]: r.text for r in files.read_sources(spark, str(tmp_path)).collect()}
-    assert got == {"One.java": "class Öne {}\r\n", "Two.java": "", "Three.java": "a�b", "Empty.java": ""}
+    assert got == {"One.java": "class Öne {}\r\n", "Two.java": "", "Three.java": "a�b"}
 
 
 def test_folder_without_sources(spark, tmp_path):
