@@ -1,7 +1,8 @@
 """Files in folders: source files read as bytes, sharded caches, results as JSON lines.
 
 Defined results: bytes that are no UTF-8 become the replacement character; a file that holds a NUL is an empty text, as
-it is no text; a folder without matching files gives an empty table; a shard without rows has no folder.
+it is no text; a file without bytes gives no row, as Spark's file sources leave it out; a folder without matching files
+gives an empty table; a shard without rows has no folder.
 """
 
 from pyspark.sql import DataFrame, SparkSession
