@@ -12,7 +12,7 @@ records; only the schemas, whose size is the number of fields of two files, go t
 
 Defined results: unreadable bodies (also null, empty and JSON that is no object) are left out; a repeated record
 changes nothing; a null value doesn't make a field present; an empty array or object is entered as its type says; of
-files with equal times the smaller id comes first; a series of one file and an empty table give no changes; extra
+files with equal times the smaller id comes first; two values of one column in one record are both given; a series of one file and an empty table give no changes; extra
 columns are ignored.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainloom.functions.lineage import cut
+from chainloom.operators.ordering import running_sum
 
 FLAT = "series bigint, file_id bigint, at timestamp, section string, record_no int, label string, field string, type string, value string"
 #: Rounds of propagation at most, and the change of scores below which they have settled.
@@ -89,11 +90,17 @@ def flatten(records: DataFrame, series: str, file_id: str, at: str) -> DataFrame
     return own.mapInPandas(_flatten, FLAT)
 
 
+def placed(flat: DataFrame) -> DataFrame:
+    """(series, file_id, place): the files of each series numbered from 1 in the order of their times."""
+    files = flat.groupBy("series", "file_id").agg(F.min("at").alias("at"))
+    return running_sum(files, "series", ["at", "file_id"], None, "place").select("series", "file_id", "place")
+
+
 def consecutive(flat: DataFrame) -> DataFrame:
     """(series, file_id, before): each file with the file before it; the first has none and is left out."""
-    files = flat.groupBy("series", "file_id").agg(F.min("at").alias("at"))
-    before = F.lag("file_id").over(Window.partitionBy("series").orderBy("at", "file_id"))
-    return files.select("series", "file_id", before.alias("before")).where("before is not null")
+    files = cut(placed(flat))
+    earlier = files.select("series", F.col("file_id").alias("before"), (F.col("place") + 1).alias("place"))
+    return files.join(earlier, ["series", "place"]).select("series", "file_id", "before")
 
 
 def fields_of(flat: DataFrame) -> DataFrame:
@@ -204,23 +211,35 @@ def schema_changes(flat: DataFrame) -> DataFrame:
     )
 
 
-def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The oldest name of each field of each file of a series, along its renames."""
-    name: dict[str, str] = {}
-    rows = []
-    for (_, file_id), own in pdf.sort_values(["place", "field"]).groupby(["place", "file_id"]):
-        name = {f: name.get(o if isinstance(o, str) and o else f, o if isinstance(o, str) and o else f) for f, o in zip(own.field, own.old_field)} | {k: v for k, v in name.items() if k not in set(own.field)}
-        rows += [(own.series.iloc[0], file_id, f, name[f]) for f in own.field]
-    return pd.DataFrame(rows, columns=["series", "file_id", "field", "canonical"])
+def rename_roots(events: DataFrame) -> DataFrame:
+    """(series, field, place, until, canonical) of rename events (series, field, old_field, place).
+
+    From its place until the next renaming into the same field, a field goes by the oldest name along its renames. The
+    event before an event is the last one into its old field; these links form trees, which are followed to their roots
+    by pointer doubling, so the rounds grow with the logarithm of the longest chain of renames.
+    """
+    following = F.lead("place").over(Window.partitionBy("series", "field").orderBy("place"))
+    spans = cut(events.withColumn("until", following))
+    parent = spans.select("series", F.col("field").alias("old_field"), F.col("place").alias("from_place"), F.col("until").alias("to_place"))
+    within = (F.col("from_place") < F.col("place")) & F.coalesce(F.col("place") <= F.col("to_place"), F.lit(True))
+    linked = spans.alias("e").join(parent.alias("p"), (F.col("e.series") == F.col("p.series")) & (F.col("e.old_field") == F.col("p.old_field")) & within, "left")
+    state = cut(linked.select("e.series", "e.field", "e.place", "e.until", F.col("e.old_field").alias("canonical"), F.when(F.col("from_place").isNotNull(), F.struct(F.col("e.old_field").alias("field"), F.col("from_place").alias("place"))).alias("up")))
+    while not state.where("up is not null").isEmpty():
+        above = state.select("series", F.struct("field", "place").alias("up"), F.col("canonical").alias("above"), F.col("up").alias("next"))
+        joined = state.join(above, ["series", "up"], "left")
+        state = cut(joined.select("series", "field", "place", "until", F.coalesce("above", "canonical").alias("canonical"), F.col("next").alias("up")))
+    return state.select("series", "field", "place", "until", "canonical")
 
 
 def canonical_names(flat: DataFrame, changes: DataFrame) -> DataFrame:
     """(series, file_id, field, canonical) for every field of every file."""
-    place = F.row_number().over(Window.partitionBy("series").orderBy("at", "file_id"))
-    files = flat.groupBy("series", "file_id").agg(F.min("at").alias("at")).select("series", "file_id", place.alias("place"))
-    named = changes.where("change = 'renamed'").select("series", "file_id", "field", "old_field")
-    rows = fields_of(flat).join(files, ["series", "file_id"]).join(named, ["series", "file_id", "field"], "left").select("series", "file_id", "place", "field", "old_field")
-    return rows.groupBy("series").applyInPandas(_roots, "series bigint, file_id bigint, field string, canonical string")
+    files = cut(placed(flat))
+    rows = fields_of(flat).join(files, ["series", "file_id"]).select("series", "file_id", "place", "field")
+    events = changes.where("change = 'renamed'").select("series", "file_id", "field", "old_field").join(files, ["series", "file_id"]).select("series", "field", "old_field", "place")
+    known = rename_roots(events).alias("k")
+    # Renames are far fewer than fields of files; at most one span of a field holds a place.
+    held = (F.col("r.series") == F.col("k.series")) & (F.col("r.field") == F.col("k.field")) & (F.col("r.place") >= F.col("k.place")) & F.coalesce(F.col("r.place") < F.col("k.until"), F.lit(True))
+    return rows.alias("r").join(known, held, "left").select("r.series", "r.file_id", "r.field", F.coalesce("canonical", "r.field").alias("canonical"))
 
 
 def canonical_table(flat: DataFrame, names: DataFrame) -> DataFrame:
@@ -231,4 +250,7 @@ def canonical_table(flat: DataFrame, names: DataFrame) -> DataFrame:
     columns = sorted(r.canonical for r in names.select("canonical").distinct().collect())
     rows = flat.join(names, ["series", "file_id", "field"])
     keys = ["series", "file_id", "section", "record_no"]
-    return rows.groupBy(*keys).agg(*[F.min(F.when(F.col("canonical") == c, F.col("value"))).alias(c.replace(".", "__")) for c in columns]) if columns else rows.select(*keys)
+    own = lambda c: F.when(F.col("canonical") == c, F.col("value"))
+    # A field whose name was given away and came back shares a column with the one that bears it now: both values stay.
+    cell = lambda c: F.when(F.count(own(c)) > 0, F.array_join(F.sort_array(F.collect_set(own(c))), " | "))
+    return rows.groupBy(*keys).agg(*[cell(c).alias(c.replace(".", "__")) for c in columns]) if columns else rows.select(*keys)

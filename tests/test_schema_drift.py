@@ -1,7 +1,8 @@
 import datetime
 import json
+import random
 
-from chainloom.operators.schema_drift import canonical_names, canonical_table, flatten, flood, schema_changes
+from chainloom.operators.schema_drift import canonical_names, canonical_table, flatten, flood, rename_roots, schema_changes
 
 SCHEMA = "suite long, report long, run timestamp, section string, record_no int, body string, field string"
 
@@ -46,3 +47,34 @@ def test_empty(spark):
 def test_flooding_prefers_likely_names():
     a, b, score = flood([("s.source_line", "integer"), ("s.sink_var", "string")], [("s.srcLine", "integer"), ("s.note", "string")])
     assert score[a["s.source_line"], b["s.srcLine"]] > score[a["s.source_line"], b["s.note"]]
+
+
+def test_roots_agree_with_a_walk(spark):
+    rng, events, want = random.Random(5), [], {}
+    for series in range(6):
+        name, present = {}, ["a", "b", "c"]
+        for place in range(2, 40):
+            if rng.random() < 0.5:
+                old = rng.choice(present)
+                new = rng.choice([f for f in "abcdefgh" if f not in present])
+                present[present.index(old)] = new
+                name[new] = name.get(old, old)
+                events.append((series, new, old, place))
+                want[series, new, place] = name[new]
+    got = rename_roots(spark.createDataFrame(events, "series long, field string, old_field string, place long")).collect()
+    assert {(r.series, r.field, r.place): r.canonical for r in got} == want and len(got) == len(events)
+
+
+def test_names_persist_over_gaps(spark):
+    a, b, none = ([{"id": str(i), n: i * 7, "x": 1} for i in range(4)] for n in ("a", "b", "x"))
+    flat = flatten(spark.createDataFrame(rows(1, a) + rows(2, b) + rows(3, none) + rows(4, b), SCHEMA), "suite", "report", "run")
+    names = {(r.file_id, r.field): r.canonical for r in canonical_names(flat, schema_changes(flat)).collect()}
+    assert names[1, "fn_chains.a"] == names[2, "fn_chains.b"] == names[4, "fn_chains.b"] == "fn_chains.a"
+
+
+def test_a_name_that_comes_back_loses_no_value(spark):
+    a, b = ([{"id": str(i), n: f"v{i}"} for i in range(4)] for n in ("a", "b"))
+    both = [{"id": str(i), "b": f"v{i}", "a": "other"} for i in range(4)]
+    flat = flatten(spark.createDataFrame(rows(1, a) + rows(2, b) + rows(3, both), SCHEMA), "suite", "report", "run")
+    table = canonical_table(flat, canonical_names(flat, schema_changes(flat)))
+    assert [r["fn_chains__a"] for r in table.where("record_no = 1").orderBy("file_id").collect()] == ["v1", "v1", "other | v1"]
