@@ -12,8 +12,8 @@ records; only the schemas, whose size is the number of fields of two files, go t
 
 Defined results: unreadable bodies (also null, empty and JSON that is no object) are left out; a repeated record
 changes nothing; a null value doesn't make a field present; an empty array or object is entered as its type says; of
-files with equal times the smaller id comes first; two values of one column in one record are both given; a series of one file and an empty table give no changes; extra
-columns are ignored.
+files with equal times the smaller id comes first; two values of one column in one record are both given; a series of
+one file and an empty table give no changes; extra columns are ignored.
 """
 
 import json
