@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainloom.functions.lineage import cut
+from chainloom.functions.lineage import cut, partitions
 from chainloom.operators.ordering import running_sum
 
 FLAT = "series bigint, file_id bigint, at timestamp, section string, record_no int, label string, field string, type string, value string"
@@ -185,7 +185,9 @@ def renames(flat: DataFrame, compared: DataFrame) -> DataFrame:
     """
     changed = compared.groupBy("file_id").agg((F.count(F.when(F.col("was").isNull(), 1)) * F.count(F.when(F.col("now").isNull(), 1))).alias("n")).where("n > 0")
     wanted = compared.join(changed.select("file_id"), "file_id", "left_semi").select("series", "file_id", "before", "section", "field", "was", "now")
-    found = wanted.groupBy("series", "file_id").applyInPandas(_correspond, "series bigint, file_id bigint, before bigint, section string, old_field string, field string, score double")
+    # Many small schemas: a fixed number of parts keeps them from being gathered into one task for their few bytes.
+    spread = wanted.repartition(partitions(flat.sparkSession), "series", "file_id")
+    found = spread.groupBy("series", "file_id").applyInPandas(_correspond, "series bigint, file_id bigint, before bigint, section string, old_field string, field string, score double")
     held = flat.where("label is not null").groupBy("series", "file_id", "field", "label").agg(F.min("value").alias("value"))
     old = held.select("series", F.col("file_id").alias("before"), F.col("field").alias("old_field"), "label", F.col("value").alias("old_value"))
     tested = found.join(old, ["series", "before", "old_field"]).join(held, ["series", "file_id", "field", "label"])
