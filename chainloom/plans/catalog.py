@@ -440,6 +440,37 @@ def graph_components(spark, d):
     return graph.components(path_edges(spark, d))
 
 
+# The queries above walk 4 hops, as far as recursive SQL can follow. The same at the reference's bound, without SQL:
+# max_path_length hops of a reach or slice, max_path_length nodes of a path.
+MAX_PATH_LENGTH = 15
+
+
+@query()
+def graph_full_reach(spark, d):
+    return graph.hops(path_edges(spark, d), endpoints(spark, d, False), MAX_PATH_LENGTH)
+
+
+@query()
+def graph_full_pairs(spark, d):
+    return graph.reachable_pairs(path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True), MAX_PATH_LENGTH)
+
+
+@query()
+def graph_full_slice(spark, d):
+    return graph.taint_slice(path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True), MAX_PATH_LENGTH)
+
+
+@query()
+def graph_full_induced(spark, d):
+    edges = graph.simple_edges(path_edges(spark, d))
+    return graph.known_edges(edges, graph.reachable(edges, endpoints(spark, d, False), MAX_PATH_LENGTH))
+
+
+@query()
+def graph_full_paths(spark, d):
+    return graph.shortest_paths(path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True), MAX_PATH_LENGTH - 1)
+
+
 # --- matching and metrics --------------------------------------------------------------------------------------------
 
 _LABELS = "(SELECT DISTINCT ON (label_key) * FROM tp_labels ORDER BY label_key)"
