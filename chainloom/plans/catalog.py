@@ -378,18 +378,30 @@ _ENDS = "(SELECT DISTINCT concat(project, ':', path[len(path)]) AS node FROM cha
 _HOPS = f"(WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_EDGES}), h(start, node, hops) AS (SELECT node, node, 0 FROM {_STARTS} UNION SELECT h.start, e.dst, h.hops + 1 FROM h JOIN e ON h.node = e.src WHERE h.hops < 4) SELECT start, node, min(hops)::INT AS hops FROM h GROUP BY start, node)"
 
 
-def path_edges(spark, d) -> DataFrame:
-    own = table(spark, d, "chains").where("path is not null and project is not null and backend = 'static'").where(F.size("path") > 1)
+def graph_chains(spark, d, static: bool = True) -> DataFrame:
+    """The chains that a graph is built from: those of the static backend or all."""
+    own = table(spark, d, "chains").where("project is not null")
+    return own.where("backend = 'static'") if static else own
+
+
+def path_edges(spark, d, static: bool = True) -> DataFrame:
+    own = graph_chains(spark, d, static).where("path is not null").where(F.size("path") > 1)
     node = lambda i: F.when(F.element_at("path", i).isNotNull(), F.concat_ws(":", "project", F.element_at("path", i)))
     return own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(node(i).alias("src"), node(i + 1).alias("dst")))).alias("x")).select("x.*")
 
 
-def endpoints(spark, d, last: bool) -> DataFrame:
-    own = table(spark, d, "chains").where("backend = 'static' and section = 'tp_matched' and project is not null").where(F.size("path") > 0)
+def endpoints(spark, d, last: bool, static: bool = True) -> DataFrame:
+    own = graph_chains(spark, d, static).where("section = 'tp_matched'").where(F.size("path") > 0)
     end = F.try_element_at("path", F.lit(-1 if last else 1))
     return own.where(end.isNotNull()).select(F.concat_ws(":", "project", end).alias("node")).distinct()
 
 
+def typed_nodes(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    typed = lambda df, c, n: df.select(F.col(c).alias("node"), F.lit(n).alias("rank"))
+    rows = typed(edges, "src", 0).unionByName(typed(edges, "dst", 0)).unionByName(typed(starts, "node", 1)).unionByName(typed(ends, "node", 2))
+    return rows.where("node is not null").groupBy("node").agg(F.element_at(F.array(*map(F.lit, ("variable", "source", "sink"))), F.max("rank") + 1).alias("node_type"))
+
+
 @query(f"SELECT src, dst FROM {_EDGES}")
 def graph_edges(spark, d):
     return graph.simple_edges(path_edges(spark, d))
@@ -398,10 +410,7 @@ def graph_edges(spark, d):
 @query(f"SELECT node, CASE WHEN node IN (SELECT node FROM {_ENDS}) THEN 'sink' WHEN node IN (SELECT node FROM {_STARTS}) THEN 'source' ELSE 'variable' END AS node_type FROM (SELECT src AS node FROM {_EDGES} UNION SELECT dst FROM {_EDGES} UNION SELECT node FROM {_STARTS} UNION SELECT node FROM {_ENDS})")
 def graph_nodes(spark, d):
     """Every node with its type: a name that is both source and sink is a sink."""
-    edges = path_edges(spark, d)
-    typed = lambda df, c, n: df.select(F.col(c).alias("node"), F.lit(n).alias("rank"))
-    rows = typed(edges, "src", 0).unionByName(typed(edges, "dst", 0)).unionByName(typed(endpoints(spark, d, False), "node", 1)).unionByName(typed(endpoints(spark, d, True), "node", 2))
-    return rows.where("node is not null").groupBy("node").agg(F.element_at(F.array(*map(F.lit, ("variable", "source", "sink"))), F.max("rank") + 1).alias("node_type"))
+    return typed_nodes(path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True))
 
 
 @query(f"SELECT start, node, hops FROM {_HOPS}")
@@ -440,35 +449,60 @@ def graph_components(spark, d):
     return graph.components(path_edges(spark, d))
 
 
-# The queries above walk 4 hops, as far as recursive SQL can follow. The same at the reference's bound, without SQL:
-# max_path_length hops of a reach or slice, max_path_length nodes of a path.
+# The queries above read the chains of one backend and walk 4 hops, as far as recursive SQL can follow. Those below read
+# the chains of all backends and walk to the reference's bound, without SQL: max_path_length hops of a reach or slice,
+# max_path_length nodes of a path.
 MAX_PATH_LENGTH = 15
+_ANY = lambda sql: sql.replace(" AND backend = 'static'", "").replace("backend = 'static' AND ", "")
+_FULL_EDGES, _FULL_STARTS, _FULL_ENDS = _ANY(_EDGES), _ANY(_STARTS), _ANY(_ENDS)
+
+
+def full_graph(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges, sources and sinks of the chains of all backends."""
+    return path_edges(spark, d, False), endpoints(spark, d, False, False), endpoints(spark, d, True, False)
+
+
+@query(f"SELECT src, dst FROM {_FULL_EDGES}")
+def graph_full_edges(spark, d):
+    return graph.simple_edges(path_edges(spark, d, False))
+
+
+@query(f"SELECT node, CASE WHEN node IN (SELECT node FROM {_FULL_ENDS}) THEN 'sink' WHEN node IN (SELECT node FROM {_FULL_STARTS}) THEN 'source' ELSE 'variable' END AS node_type FROM (SELECT src AS node FROM {_FULL_EDGES} UNION SELECT dst FROM {_FULL_EDGES} UNION SELECT node FROM {_FULL_STARTS} UNION SELECT node FROM {_FULL_ENDS})")
+def graph_full_nodes(spark, d):
+    return typed_nodes(*full_graph(spark, d))
 
 
 @query()
 def graph_full_reach(spark, d):
-    return graph.hops(path_edges(spark, d), endpoints(spark, d, False), MAX_PATH_LENGTH)
+    edges, starts, _ = full_graph(spark, d)
+    return graph.hops(edges, starts, MAX_PATH_LENGTH)
 
 
 @query()
 def graph_full_pairs(spark, d):
-    return graph.reachable_pairs(path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True), MAX_PATH_LENGTH)
+    return graph.reachable_pairs(*full_graph(spark, d), MAX_PATH_LENGTH)
 
 
 @query()
 def graph_full_slice(spark, d):
-    return graph.taint_slice(path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True), MAX_PATH_LENGTH)
+    return graph.taint_slice(*full_graph(spark, d), MAX_PATH_LENGTH)
 
 
 @query()
 def graph_full_induced(spark, d):
-    edges = graph.simple_edges(path_edges(spark, d))
-    return graph.known_edges(edges, graph.reachable(edges, endpoints(spark, d, False), MAX_PATH_LENGTH))
+    edges, starts, _ = full_graph(spark, d)
+    edges = graph.simple_edges(edges)
+    return graph.known_edges(edges, graph.reachable(edges, starts, MAX_PATH_LENGTH))
 
 
 @query()
 def graph_full_paths(spark, d):
-    return graph.shortest_paths(path_edges(spark, d), endpoints(spark, d, False), endpoints(spark, d, True), MAX_PATH_LENGTH - 1)
+    return graph.shortest_paths(*full_graph(spark, d), MAX_PATH_LENGTH - 1)
+
+
+@query()
+def graph_full_components(spark, d):
+    return graph.components(path_edges(spark, d, False))
 
 
 # --- matching and metrics --------------------------------------------------------------------------------------------

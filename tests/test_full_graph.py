@@ -39,3 +39,11 @@ def test_bound_is_the_references(spark, tmp_path):
     reached = {n for _, n in want}
     assert {r.node for r in catalog.graph_full_slice(spark, d).collect()} == {n for n in reached if n <= "p:n16"}
     assert {(r.src, r.dst) for r in catalog.graph_full_induced(spark, d).collect()} == {(f"p:{a}", f"p:{b}") for a, b in [*zip(line(0, 20), line(1, 20)), ("n03", "n05")] if {f"p:{a}", f"p:{b}"} <= reached}
+
+
+def test_all_backends(spark, tmp_path):
+    d = chains(spark, tmp_path, ("p", ["a", "b"], "static", "tp_matched"), ("p", ["b", "c"], "hybrid", "tp_matched"), ("p", ["d", "c"], "llm", "unclassified_chains"), (None, ["a", "c"], "llm", "tp_matched"), ("p", None, "llm", "tp_matched"))
+    assert {tuple(r) for r in catalog.graph_full_edges(spark, d).collect()} == {("p:a", "p:b"), ("p:b", "p:c"), ("p:d", "p:c")}
+    assert {tuple(r) for r in catalog.graph_full_nodes(spark, d).collect()} == {("p:a", "source"), ("p:b", "sink"), ("p:c", "sink"), ("p:d", "variable")}
+    assert {tuple(r) for r in catalog.graph_full_components(spark, d).collect()} == {(f"p:{x}", "p:a") for x in "abcd"}
+    assert {(r.source, r.sink): r.hops for r in catalog.graph_full_pairs(spark, d).collect()} == {("p:a", "p:b"): 1, ("p:a", "p:c"): 2, ("p:b", "p:b"): 0, ("p:b", "p:c"): 1}
