@@ -24,6 +24,19 @@ FUNCTION = rf"^\s*(?:(?:public|private|protected|static|final)\s+)+(?:[A-Za-z_][
 IMPORT = r"^\s*import\s+(?:static\s+)?([A-Za-z0-9_.*]+)\s*;"
 CLASS = rf"\bclass\s+({NAME})(?:\s+extends\s+({NAME}))?"
 TOKEN = r"""(?s)"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*.*?\*/|[^"'/]+|."""
+# Words that the reference's flow patterns take for no variables, and the patterns, with word and space as there.
+FLOW_KEYWORDS = (
+    "public private protected static final class interface void int String boolean double float long short byte char if else for while return new "
+    "null true false this super import package try catch finally throw throws List Map Set"
+).split()
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+FLOWS = {
+    "assignment": rf"([a-zA-Z_][\p{{L}}\p{{N}}_]*){SPACE}*=({SPACE}*[^;=]+);",
+    "method_chain": rf"({WORD})\.([a-zA-Z_]{WORD}){SPACE}*\(",
+    "throw_arg": rf"throw{SPACE}+new{SPACE}+({WORD}){SPACE}*\(([^\n]+?)\){SPACE}*;",
+    "return": rf"return{SPACE}+([^;]+);",
+    "method_arg": rf"({WORD})\.{WORD}{SPACE}*\(([^)]+)\)",
+}
 # Calls that bring in untrusted data, and calls that may do harm with it, by kind.
 INPUT_CALLS = "getParameter|getHeader|getQueryString|getCookieValue|getInputStream|getReader|readLine|body|next|fetch|load"
 SINKS = (
@@ -104,6 +117,28 @@ def argument_flows(files: DataFrame) -> DataFrame:
     return rows.where("from_var <> to_var").withColumn("flow_type", F.lit("method_arg"))
 
 
+def flow_words(text: Column) -> Column:
+    """The words of a text that the flow patterns take for variables, as often as they stand there."""
+    plain = lambda x: (F.length(x) > 1) & x.rlike("^[a-zA-Z_]") & ~x.isin(FLOW_KEYWORDS)
+    return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), plain)
+
+
+def pattern_flows(files: DataFrame) -> DataFrame:
+    """(file, line_number, from_var, to_var, flow_type): the flows of the reference's five patterns, every match on a
+    line and every word of it giving a row, so that rows may repeat. Text in quotes and remarks counts too."""
+    part = lambda t, i: F.regexp_extract_all("line", F.lit(FLOWS[t]), F.lit(i))
+    matches = lambda t, names, target: F.transform(F.arrays_zip(part(t, names).alias("names"), target.alias("target")), lambda x: F.struct(F.lit(t).alias("type"), x["names"].alias("names"), x["target"].alias("target")))
+    found = F.concat(
+        matches("assignment", 2, part("assignment", 1)), matches("method_chain", 1, part("method_chain", 2)), matches("throw_arg", 2, part("throw_arg", 1)),
+        matches("return", 1, F.transform(part("return", 1), lambda _: F.lit("return_value"))), matches("method_arg", 2, part("method_arg", 1)),
+    )
+    rows = lines(files).select("file", "line_number", F.explode(found).alias("x"))
+    rows = rows.select("file", "line_number", F.explode(flow_words(F.col("x.names"))).alias("from_var"), F.col("x.target").alias("to_var"), F.col("x.type").alias("flow_type"))
+    other = F.col("from_var") != F.col("to_var")
+    named = (F.length("to_var") > 1) & ~F.col("to_var").isin(FLOW_KEYWORDS)
+    return rows.where(F.when(F.col("flow_type") == "assignment", other).when(F.col("flow_type") == "method_arg", other & named).when(F.col("flow_type") == "method_chain", named).otherwise(True))
+
+
 def functions(files: DataFrame) -> DataFrame:
     """(file, function_name, parameters, start_line, end_line): headers by pattern, ends where the braces close.
 
@@ -201,3 +236,8 @@ def statement_of(edges: DataFrame, files: DataFrame) -> DataFrame:
     a = edges.select("file", "from_var", "to_var").distinct().join(index.withColumnRenamed("variable", "from_var"), ["file", "from_var"])
     both = a.join(index.withColumnRenamed("variable", "to_var"), ["file", "to_var", "line_number"])
     return both.groupBy("file", "from_var", "to_var").agg(F.min("line_number").alias("line_number"))
+
+
+def flow_statements(flows: DataFrame) -> DataFrame:
+    """(file, from_var, to_var, line_number, n): the first line of each flow and how often it is found."""
+    return flows.groupBy("file", "from_var", "to_var").agg(F.min("line_number").alias("line_number"), F.count(F.lit(1)).alias("n"))

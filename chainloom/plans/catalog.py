@@ -224,6 +224,38 @@ def statement_of_edge(spark, d):
     return source_text.statement_of(all_flows(spark, d), java_files(spark, d))
 
 
+# The flows of the reference's five patterns: every match of a line, words as often as they stand there.
+_FLOW_WORDS = lambda x: f"list_filter(regexp_extract_all({x}, {quoted(source_text.WORD)}), lambda v: length(v) > 1 AND regexp_matches(v, '^[a-zA-Z_]') AND NOT list_contains([{', '.join(map(quoted, source_text.FLOW_KEYWORDS))}], v))"
+_PART = lambda t, i: f"unnest(regexp_extract_all(line, {quoted(source_text.FLOWS[t])}, {i}))"
+_MATCHES = " UNION ALL ".join(f"SELECT file, line_number, {quoted(t)} AS flow_type, {_PART(t, i)} AS names, {_PART(t, j) if j else quoted('return_value')} AS to_var FROM {_LINES}" for t, i, j in (("assignment", 2, 1), ("method_chain", 1, 2), ("throw_arg", 2, 1), ("return", 1, 0), ("method_arg", 2, 1)))
+_NAMED = f"(length(to_var) > 1 AND NOT list_contains([{', '.join(map(quoted, source_text.FLOW_KEYWORDS))}], to_var))"
+_PATTERN_FLOWS = f"(SELECT file, line_number, from_var, to_var, flow_type FROM (SELECT file, line_number, unnest({_FLOW_WORDS('names')}) AS from_var, to_var, flow_type FROM ({_MATCHES})) WHERE CASE flow_type WHEN 'assignment' THEN from_var <> to_var WHEN 'method_arg' THEN from_var <> to_var AND {_NAMED} WHEN 'method_chain' THEN {_NAMED} ELSE true END)"
+_TIMES = f"(SELECT file, line_number, from_var, to_var, flow_type, count(*) AS n FROM {_PATTERN_FLOWS} GROUP BY file, line_number, from_var, to_var, flow_type)"
+
+
+@query(f"SELECT * FROM {_PATTERN_FLOWS}")
+def pattern_flows(spark, d):
+    return source_text.pattern_flows(java_files(spark, d))
+
+
+@query(f"SELECT f.file, f.line_number, f.from_var, f.to_var, f.flow_type, f.n, max_by(s.function_name, s.start_line) AS function_name FROM {_TIMES} f LEFT JOIN {_FUNCTIONS} s ON f.file = s.file AND f.line_number BETWEEN s.start_line AND s.end_line GROUP BY ALL")
+def pattern_flows_in_functions(spark, d):
+    """n tells how often the flow stands on the line."""
+    times = source_text.pattern_flows(java_files(spark, d)).groupBy("file", "line_number", "from_var", "to_var", "flow_type").agg(F.count(F.lit(1)).alias("n"))
+    return source_text.in_functions(times, source_text.functions(java_files(spark, d)))
+
+
+@query(f"SELECT file, from_var, to_var, coalesce(array_to_string(list_sort(list_distinct(list(function_name) FILTER (WHERE function_name IS NOT NULL))), ','), '') AS functions, min(line_number) AS line_number, sum(n)::BIGINT AS n FROM ({SQL['pattern_flows_in_functions']}) GROUP BY file, from_var, to_var")
+def pattern_flow_graph(spark, d):
+    flows = pattern_flows_in_functions(spark, d)
+    return flows.groupBy("file", "from_var", "to_var").agg(F.array_join(F.sort_array(F.collect_set("function_name")), ",").alias("functions"), F.min("line_number").alias("line_number"), F.sum("n").alias("n"))
+
+
+@query(f"SELECT file, from_var, to_var, min(line_number) AS line_number, count(*) AS n FROM {_PATTERN_FLOWS} GROUP BY file, from_var, to_var")
+def pattern_flow_statements(spark, d):
+    return source_text.flow_statements(source_text.pattern_flows(java_files(spark, d)))
+
+
 # --- chains ----------------------------------------------------------------------------------------------------------
 
 _CHAINS = "(SELECT DISTINCT ON (row_id) * FROM chains ORDER BY row_id, loaded_at)"
