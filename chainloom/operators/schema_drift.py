@@ -2,57 +2,61 @@
 
 The records of a file are flattened to (file, section, record, field, type, value). schema_changes compares each file
 with the file before it in the same series. Which old field became which new one is decided by similarity flooding:
-the schema graph of a file has nodes for its objects, fields and JSON types and edges for nesting and typing; scores of
-node pairs start from the likeness of names and are propagated along edges that both graphs have, until they settle
-or a number of rounds has passed. A consistent (one-to-one) choice among the correspondences that the values confirm
-gives the renames. canonical_table casts and unions all files under the oldest name of each field.
+the schema graph of a file has nodes for its objects, fields and JSON types, and edges for nesting (from every object
+to all fields below it) and for typing. Scores of node pairs start from the likeness of names and are propagated along
+edges that both graphs have until they settle. Of the fields that went and the fields that came, a pair is selected
+when its settled score is at least RELATIVE of the best score of either field; what flooding doesn't select is no
+candidate. The values confirm selected pairs (more than half of the labels hold the same), and of the confirmed ones a
+one-to-one choice is made, best score first. canonical_table casts all files to one type for each field and unions them
+under the oldest name of each field.
 
 The work on values (flattening, types of a field, agreement of labels) is done by joins and aggregates over all
-records; only the schemas, whose size is the number of fields of two files, go through a grouped pandas function.
+records; only the schemas, whose size is the number of fields of two files, are taken as one row each.
 
 Defined results: unreadable bodies (also null, empty and JSON that is no object) are left out; a repeated record
 changes nothing; a null value doesn't make a field present; an empty array or object is entered as its type says; of
-files with equal times the smaller id comes first; two values of one column in one record are both given; a series of
-one file and an empty table give no changes; extra columns are ignored.
+files with equal times the smaller id comes first; a name that was given away and comes back is a field of its own,
+with AGAIN behind its name; of two values of one field in one record the smaller text counts; a series of one file and
+an empty table give no changes; extra columns are ignored.
 """
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainloom.functions.lineage import cut, partitions
 from chainloom.operators.ordering import running_sum
 
-FLAT = "series bigint, file_id bigint, at timestamp, section string, record_no int, label string, field string, type string, value string"
-#: Rounds of propagation at most, and the change of scores below which they have settled.
-ROUNDS, SETTLED = 30, 1e-3
-
-
-class _Integer(str):
-    """Digits of a JSON integer, as written."""
+#: Change of the scores below which they have settled, and the least score of a selected pair by the best of either field.
+SETTLED, RELATIVE = 1e-3, 0.5
+#: Ends the name of a field whose name was another field's before.
+AGAIN = "__again"
+_LEAVES = pa.list_(pa.struct([("field", pa.string()), ("type", pa.string()), ("value", pa.string())]))
 
 
 class _Number(str):
     """Digits of a JSON number with a fraction or an exponent, as written."""
 
 
-def _leaves(value, path: str) -> Iterator[tuple[str, str, str]]:
-    """(field, JSON type, text) of the non-null values below value; objects are entered, arrays are not."""
+def _leaves(value, path: str, found: list[tuple[str, str, str]]) -> None:
+    """Add (field, JSON type, text) of the non-null values below value; objects are entered, arrays are not."""
     if isinstance(value, dict):
         for name, below in value.items():
-            yield from _leaves(below, f"{path}.{name}")
+            _leaves(below, f"{path}.{name}", found)
     elif value is not None:
-        yield path, _json_type(value), _text(value)
+        found.append((path, _json_type(value), _text(value)))
 
 
 def _json_type(value) -> str:
     if isinstance(value, bool):
         return "boolean"
-    for kind, name in ((_Integer, "integer"), (_Number, "number"), (str, "string")):
+    for kind, name in ((int, "integer"), (_Number, "number"), (str, "string")):
         if isinstance(value, kind):
             return name
     return "array"
@@ -64,30 +68,44 @@ def _text(value) -> str:
         value = value[0]
     if isinstance(value, bool):
         return str(value).lower()
-    return str(value) if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return value if isinstance(value, str) else str(value) if isinstance(value, int) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+
 
+def _parsed(body: str):
+    """The object in a body; a number with a fraction as its digits; None for anything else."""
+    try:
+        found = json.loads(body.lstrip("\ufeff"), parse_float=_Number)
+    except (ValueError, AttributeError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
 
-def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            try:
-                body = json.loads(r.body.lstrip("﻿"), parse_int=_Integer, parse_float=_Number)
-            except (ValueError, AttributeError, RecursionError):
-                continue
-            if not isinstance(body, dict):
-                continue
-            found = list(_leaves(body, r.section))
-            own = dict((f, v) for f, _, v in found)
-            label = own.get(f"{r.section}.id") or own.get(f"{r.section}.tp.id")
-            rows += [(r.series, r.file_id, r.at, r.section, r.record_no, label, *x) for x in found]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FLAT.split(", ")])
+        kept, labels, leaves = [], [], []
+        for i, (section, body) in enumerate(zip(batch["section"].to_pylist(), batch["body"].to_pylist())):
+            record = _parsed(body)
+            if record is not None:
+                found: list[tuple[str, str, str]] = []
+                _leaves(record, section, found)
+                own = {f: v for f, _, v in found}
+                kept.append(i)
+                labels.append(own.get(f"{section}.id") or own.get(f"{section}.tp.id"))
+                leaves.append(found)
+        flat = [x for found in leaves for x in found]
+        fields = [pa.array([x[i] for x in flat], type=pa.string()) for i in range(3)]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in leaves]))).astype(np.int32)
+        nested = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, names=["field", "type", "value"]))
+        rest = batch.select(["series", "file_id", "at", "section", "record_no"]).take(pa.array(kept, type=pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(labels, type=pa.string()), nested.cast(_LEAVES)], [*rest.schema.names, "label", "leaves"])
 
 
 def flatten(records: DataFrame, series: str, file_id: str, at: str) -> DataFrame:
-    """One row for each non-null value of each readable record."""
-    own = records.where("body is not null and section is not null").select(F.col(series).alias("series"), F.col(file_id).alias("file_id"), F.col(at).alias("at"), "section", "record_no", "body")
-    return own.mapInPandas(_flatten, FLAT)
+    """(series, file_id, at, section, record_no, label, field, type, value): one row for each non-null value of each
+    readable record. Records are parsed once; the written copy has one row for each."""
+    own = records.where("body is not null and section is not null").select(F.col(series).cast("long").alias("series"), F.col(file_id).cast("long").alias("file_id"), F.col(at).cast("timestamp").alias("at"), "section", F.col("record_no").cast("int").alias("record_no"), "body")
+    parsed = cut(own.mapInArrow(_flatten, "series long, file_id long, at timestamp, section string, record_no int, label string, leaves array<struct<field: string, type: string, value: string>>"))
+    return parsed.select("series", "file_id", "at", "section", "record_no", "label", F.explode("leaves").alias("x")).select("series", "file_id", "at", "section", "record_no", "label", "x.*")
 
 
 def placed(flat: DataFrame) -> DataFrame:
@@ -108,65 +126,89 @@ def fields_of(flat: DataFrame) -> DataFrame:
     return flat.groupBy("series", "file_id", "section", "field").agg(F.array_join(F.sort_array(F.collect_set("type")), "|").alias("types"))
 
 
-def _trigrams(name: str) -> set[str]:
-    low = "".join("_" + c.lower() if c.isupper() else c for c in name).strip("_.")
-    return {f"  {low} "[i : i + 3] for i in range(len(low) + 1)}
+@lru_cache(1 << 16)
+def _trigrams(name: str) -> frozenset[str]:
+    low = "".join("_" + c.lower() if c.isupper() else c for c in name).strip("_.").replace(".", "_")
+    return frozenset(f"  {low} "[i : i + 3] for i in range(len(low) + 1))
 
 
+@lru_cache(1 << 18)
 def _likeness(a: str, b: str) -> float:
-    """Of two names: shared trigrams, and at least a trace, so that every pair takes part."""
-    x, y = _trigrams(a), _trigrams(b)
-    return max(0.05, 2 * len(x & y) / max(1, len(x) + len(y)))
+    """Of two paths: shared trigrams of their last names or of all names below the first, whichever are more alike, and
+    at least a trace, so that every pair takes part."""
+    last, below = (x.rpartition(".")[2] for x in (a, b)), (x.partition(".")[2] for x in (a, b))
+    share = lambda x, y: 2 * len(x & y) / max(1, len(x) + len(y))
+    return max(0.05, share(*map(_trigrams, last)), share(*map(_trigrams, below)))
 
 
-def _graph(fields: list[tuple[str, str]]) -> tuple[dict[str, int], list[tuple[int, str, int]]]:
-    """Nodes (objects, fields, types) and labelled edges of a schema."""
+def _graph(fields: list[tuple[str, str]]) -> tuple[dict[str, int], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Nodes (objects, fields, types) of a schema and the ends of its edges by label."""
     nodes: dict[str, int] = {}
     at = lambda key: nodes.setdefault(key, len(nodes))
-    edges = set()
+    edges: dict[str, set[tuple[int, int]]] = {"holds": set(), "is": set()}
     for path, types in fields:
         steps = path.split(".")
-        for i in range(1, len(steps)):
-            edges.add((at(".".join(steps[:i])), "holds", at(".".join(steps[: i + 1]))))
-        for t in types.split("|"):
-            edges.add((at(path), "is", at(f"type:{t}")))
-    return nodes, sorted(edges)
+        whole = [at(".".join(steps[: i + 1])) for i in range(len(steps))]
+        edges["holds"] |= {(x, y) for i, x in enumerate(whole) for y in whole[i + 1 :]}
+        edges["is"] |= {(whole[-1], at(f"type:{t}")) for t in types.split("|")}
+    return nodes, {k: tuple(np.array(sorted(e), dtype=np.int64).reshape(-1, 2).T) for k, e in edges.items()}
+
+
+def _along(edges: tuple[np.ndarray, np.ndarray], scores: np.ndarray) -> np.ndarray:
+    """For each node the mean of the rows of scores to which its edges lead."""
+    out, degree = np.zeros_like(scores), np.bincount(edges[0], minlength=len(scores))
+    np.add.at(out, edges[0], scores[edges[1]])
+    return out / np.maximum(1, degree)[:, None]
 
 
 def flood(old: list[tuple[str, str]], new: list[tuple[str, str]]) -> tuple[dict[str, int], dict[str, int], np.ndarray]:
     """Similarity flooding of two schemas [(field, types)]: node numbers of both and the settled scores."""
     (a, ea), (b, eb) = _graph(old), _graph(new)
-    start = np.array([[_likeness(x.rpartition(".")[2], y.rpartition(".")[2]) * (x.startswith("type:") == y.startswith("type:")) * (1 + (x == y)) for y in b] for x in a])
-    step = {}
-    for label in ("holds", "is"):
-        for name, edges, n in (("a", ea, len(a)), ("b", eb, len(b))):
-            m = np.zeros((n, n))
-            for s, kind, t in edges:
-                m[s, t] += kind == label
-            step[name, label, "down"] = m / np.maximum(1, m.sum(1, keepdims=True))
-            step[name, label, "up"] = m.T / np.maximum(1, m.T.sum(1, keepdims=True))
-    score = start / max(start.max(), 1e-9)
-    for _ in range(ROUNDS):
-        spread = sum(step["a", k, d] @ (score + start) @ step["b", k, d].T for k in ("holds", "is") for d in ("down", "up"))
-        new_score = start + score + spread
-        new_score /= max(new_score.max(), 1e-9)
-        moved = np.abs(new_score - score).max()
-        score = new_score
-        if moved < SETTLED:
-            break
+    kind = np.equal.outer([x.startswith("type:") for x in a], [y.startswith("type:") for y in b])
+    start = kind * np.array([[_likeness(x, y) * (1 + (x == y)) for y in b] for x in a]).reshape(len(a), len(b))
+    start /= max(start.max(initial=0), 1e-9)
+    score, moved = start, np.inf
+    # The start is added in every round, so the scores are drawn to one fixed point and the loop ends.
+    while moved >= SETTLED:
+        given = score + start
+        spread = sum(_along(x, _along(y, given.T).T) for k in ("holds", "is") for x, y in ((ea[k], eb[k]), (ea[k][::-1], eb[k][::-1])))
+        following = given + spread * kind
+        following /= max(following.max(initial=0), 1e-9)
+        moved, score = np.abs(following - score).max(initial=0), following
     return a, b, score
 
 
-def _correspond(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of a field that went and one that came in the same section, with the score of flooding."""
-    old, new = pdf[pdf.was.notna()], pdf[pdf.now.notna()]
-    gone, come = pdf[pdf.now.isna()], pdf[pdf.was.isna()]
-    rows = []
-    if len(gone) and len(come):
-        a, b, score = flood(list(zip(old.field, old.was)), list(zip(new.field, new.now)))
-        for g in gone.itertuples():
-            rows += [(g.series, g.file_id, g.before, g.section, g.field, c.field, float(score[a[g.field], b[c.field]])) for c in come.itertuples() if c.section == g.section]
-    return pd.DataFrame(rows, columns=["series", "file_id", "before", "section", "old_field", "field", "score"])
+def select(score: np.ndarray) -> np.ndarray:
+    """Which pairs are selected: those whose score is at least RELATIVE of the best of their row and of their column."""
+    best = np.maximum(score.max(1, keepdims=True, initial=0), score.max(0, keepdims=True, initial=0))
+    return (score > 0) & (score >= RELATIVE * best)
+
+
+def _correspond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each pair of files the selected pairs of a field that went and one that came in the same section."""
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            a, b, score = flood([(x["field"], x["was"]) for x in r.fields if x["was"]], [(x["field"], x["now"]) for x in r.fields if x["now"]])
+            for section in sorted({x["section"] for x in r.fields}):
+                gone, come = (sorted(x["field"] for x in r.fields if x["section"] == section and not x[side]) for side in ("now", "was"))
+                own = score[np.ix_([a[g] for g in gone], [b[c] for c in come])]
+                rows += [(r.series, r.file_id, r.before, section, gone[i], come[j], float(own[i, j])) for i, j in zip(*np.nonzero(select(own)))]
+        yield pd.DataFrame(rows, columns=["series", "file_id", "before", "section", "old_field", "field", "score"])
+
+
+def _one_to_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the confirmed pairs of two files the best, then the best of those that share no field with it, and so on."""
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            taken = set()
+            for x in sorted(r.pairs, key=lambda x: (-x["score"], -x["share"], x["old_field"], x["field"])):
+                ends = {("old", x["old_field"]), ("new", x["field"])}
+                if not ends & taken:
+                    taken |= ends
+                    rows.append((r.series, r.file_id, x["section"], x["old_field"], x["field"], x["score"], x["share"]))
+        yield pd.DataFrame(rows, columns=["series", "file_id", "section", "old_field", "field", "score", "share"])
 
 
 def schema_pairs(flat: DataFrame) -> DataFrame:
@@ -178,22 +220,24 @@ def schema_pairs(flat: DataFrame) -> DataFrame:
 
 
 def renames(flat: DataFrame, compared: DataFrame) -> DataFrame:
-    """(series, file_id, before, section, old_field, field, score, share): a consistent choice of confirmed pairs.
+    """(series, file_id, section, old_field, field, score, share): a consistent choice of confirmed pairs.
 
-    A correspondence is confirmed when of the labels that hold the old field before and the new one after more than
-    half hold the same value. A field is in one rename at most: the pair with the highest share, then score, wins.
+    Flooding selects the candidates. One is confirmed when of the labels that hold the old field before and the new one
+    after more than half hold the same value. A field is in one rename at most.
     """
-    changed = compared.groupBy("file_id").agg((F.count(F.when(F.col("was").isNull(), 1)) * F.count(F.when(F.col("now").isNull(), 1))).alias("n")).where("n > 0")
-    wanted = compared.join(changed.select("file_id"), "file_id", "left_semi").select("series", "file_id", "before", "section", "field", "was", "now")
+    packed = compared.groupBy("series", "file_id", "before").agg(F.collect_list(F.struct("section", "field", "was", "now")).alias("fields"))
+    both = packed.where("exists(fields, x -> x.was is null) and exists(fields, x -> x.now is null)")
     # Many small schemas: a fixed number of parts keeps them from being gathered into one task for their few bytes.
-    spread = wanted.repartition(partitions(flat.sparkSession), "series", "file_id")
-    found = spread.groupBy("series", "file_id").applyInPandas(_correspond, "series bigint, file_id bigint, before bigint, section string, old_field string, field string, score double")
-    held = flat.where("label is not null").groupBy("series", "file_id", "field", "label").agg(F.min("value").alias("value"))
+    spread = both.repartition(partitions(flat.sparkSession), "series", "file_id")
+    found = cut(spread.mapInPandas(_correspond, "series long, file_id long, before long, section string, old_field string, field string, score double"))
+    # Only values of fields that are candidates are compared.
+    wanted = found.select("series", "file_id", "field").unionByName(found.select("series", F.col("before").alias("file_id"), F.col("old_field").alias("field"))).distinct()
+    held = flat.where("label is not null").join(wanted, ["series", "file_id", "field"], "left_semi").groupBy("series", "file_id", "field", "label").agg(F.min("value").alias("value"))
     old = held.select("series", F.col("file_id").alias("before"), F.col("field").alias("old_field"), "label", F.col("value").alias("old_value"))
     tested = found.join(old, ["series", "before", "old_field"]).join(held, ["series", "file_id", "field", "label"])
-    tested = tested.groupBy("series", "file_id", "before", "section", "old_field", "field").agg(F.first("score").alias("score"), F.avg((F.col("value") == F.col("old_value")).cast("double")).alias("share")).where("share > 0.5")
-    best = lambda *keys: F.row_number().over(Window.partitionBy("series", "file_id", *keys).orderBy(F.desc("share"), F.desc("score"), "old_field", "field"))
-    return tested.select("*", best("old_field").alias("r1"), best("field").alias("r2")).where("r1 = 1 and r2 = 1").drop("r1", "r2")
+    tested = tested.groupBy("series", "file_id", "section", "old_field", "field").agg(F.first("score").alias("score"), F.avg((F.col("value") == F.col("old_value")).cast("double")).alias("share")).where("share > 0.5")
+    several = tested.groupBy("series", "file_id").agg(F.collect_list(F.struct("section", "old_field", "field", "score", "share")).alias("pairs"))
+    return several.mapInPandas(_one_to_one, "series long, file_id long, section string, old_field string, field string, score double, share double")
 
 
 def schema_changes(flat: DataFrame) -> DataFrame:
@@ -241,18 +285,26 @@ def canonical_names(flat: DataFrame, changes: DataFrame) -> DataFrame:
     known = rename_roots(events).alias("k")
     # Renames are far fewer than fields of files; at most one span of a field holds a place.
     held = (F.col("r.series") == F.col("k.series")) & (F.col("r.field") == F.col("k.field")) & (F.col("r.place") >= F.col("k.place")) & F.coalesce(F.col("r.place") < F.col("k.until"), F.lit(True))
-    return rows.alias("r").join(known, held, "left").select("r.series", "r.file_id", "r.field", F.coalesce("canonical", "r.field").alias("canonical"))
+    given = events.groupBy("series", F.col("old_field").alias("field")).agg(F.min("place").alias("given_at"))
+    own = rows.join(given, ["series", "field"], "left")
+    again = F.when(F.col("r.place") >= F.col("r.given_at"), F.concat("r.field", F.lit(AGAIN))).otherwise(F.col("r.field"))
+    return own.alias("r").join(known, held, "left").select("r.series", "r.file_id", "r.field", F.coalesce("canonical", again).alias("canonical"))
 
 
-def canonical_table(flat: DataFrame, names: DataFrame) -> DataFrame:
-    """All records as one table: the keys of a record and one column of text for each canonical field.
+def column_types(rows: DataFrame) -> dict[str, str]:
+    """The type of each canonical field of rows (canonical, type, value), the least that holds all its values: numbers
+    that some files write as text or as arrays of one are numbers, all else is text. As many as there are different
+    fields, these are the only thing that the driver reads."""
+    fits = lambda kind: F.bool_and(F.col("value").try_cast(kind).isNotNull())
+    is_a = lambda *kinds: F.bool_or(F.col("type").isin(*kinds))
+    kind = F.when(F.bool_and(F.col("type") == "boolean"), "boolean").when(is_a("integer", "number") & ~is_a("boolean"), F.when(fits("long") & ~is_a("number"), "long").when(fits("double"), "double"))
+    return {r.canonical: r.kind for r in rows.groupBy("canonical").agg(F.coalesce(kind, F.lit("string")).alias("kind")).collect()}
 
-    The names of the columns, as many as there are different fields, are the only thing that the driver reads.
-    """
-    columns = sorted(r.canonical for r in names.select("canonical").distinct().collect())
+
+def canonical_table(flat: DataFrame, names: DataFrame) -> DataFrame:
+    """All records as one table: the keys of a record and one column for each canonical field, cast to one type."""
     rows = flat.join(names, ["series", "file_id", "field"])
+    kinds = column_types(rows)
     keys = ["series", "file_id", "section", "record_no"]
-    own = lambda c: F.when(F.col("canonical") == c, F.col("value"))
-    # A field whose name was given away and came back shares a column with the one that bears it now: both values stay.
-    cell = lambda c: F.when(F.count(own(c)) > 0, F.array_join(F.sort_array(F.collect_set(own(c))), " | "))
-    return rows.groupBy(*keys).agg(*[cell(c).alias(c.replace(".", "__")) for c in columns]) if columns else rows.select(*keys)
+    cell = lambda c: F.min(F.when(F.col("canonical") == c, F.col("value"))).try_cast(kinds[c]).alias(c.replace(".", "__"))
+    return rows.groupBy(*keys).agg(*map(cell, sorted(kinds))) if kinds else rows.select(*keys)

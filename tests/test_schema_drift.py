@@ -2,7 +2,10 @@ import datetime
 import json
 import random
 
-from chainloom.operators.schema_drift import canonical_names, canonical_table, flatten, flood, rename_roots, schema_changes
+import numpy as np
+
+from chainloom.operators import schema_drift
+from chainloom.operators.schema_drift import canonical_names, canonical_table, flatten, flood, rename_roots, schema_changes, select
 
 SCHEMA = "suite long, report long, run timestamp, section string, record_no int, body string, field string"
 
@@ -25,7 +28,7 @@ def test_rename_move_and_type(spark):
         (2, "fn_chains.weakness.id", "renamed", "fn_chains._cwe"), (2, "fn_chains.weakness.id", "type_changed", ""),
     ]
     table = canonical_table(flat, canonical_names(flat, schema_changes(flat))).where("file_id = 2 and record_no = 1").first()
-    assert table["fn_chains___cwe"] == "C1" and table["fn_chains__line"] == "1"
+    assert table["fn_chains___cwe"] == "C1" and table["fn_chains__line"] == 1
 
 
 def test_half_is_no_rename(spark):
@@ -77,4 +80,32 @@ def test_a_name_that_comes_back_loses_no_value(spark):
     both = [{"id": str(i), "b": f"v{i}", "a": "other"} for i in range(4)]
     flat = flatten(spark.createDataFrame(rows(1, a) + rows(2, b) + rows(3, both), SCHEMA), "suite", "report", "run")
     table = canonical_table(flat, canonical_names(flat, schema_changes(flat)))
-    assert [r["fn_chains__a"] for r in table.where("record_no = 1").orderBy("file_id").collect()] == ["v1", "v1", "other | v1"]
+    got = table.where("record_no = 1").orderBy("file_id").collect()
+    assert [r["fn_chains__a"] for r in got] == ["v1", "v1", "v1"] and [r["fn_chains__a__again"] for r in got] == [None, None, "other"]
+
+
+def test_flooding_decides(spark, monkeypatch):
+    """Without scores there are no candidates; a pair that flooding doesn't select is no rename, though its values agree."""
+    old, new = [{"id": str(i), "source_line": i, "x": 1} for i in range(4)], [{"id": str(i), "src_line": i} for i in range(4)]
+    assert (2, "fn_chains.src_line", "renamed", "fn_chains.source_line") in changes(spark, rows(1, old) + rows(2, new))[1]
+    flooded = schema_drift.flood
+    monkeypatch.setattr(schema_drift, "flood", lambda a, b: (lambda x, y, s: (x, y, s * 0))(*flooded(a, b)))
+    assert not [r for r in changes(spark, rows(1, old) + rows(2, new))[1] if r[2] == "renamed"]
+
+
+def test_selection_and_second_choice(spark, monkeypatch):
+    assert select(np.array([[1.0, 0.4], [0.6, 0.55]])).tolist() == [[True, False], [True, True]]
+    # Both old fields agree with both new ones; the best pair is taken, and the rest still finds its own.
+    old = [{"id": str(i), "source_file": f"F{i}", "sink_file": f"F{i}"} for i in range(4)]
+    new = [{"id": str(i), "src_file": f"F{i}", "sinkFile": f"F{i}"} for i in range(4)]
+    got = [(r[1], r[3]) for r in changes(spark, rows(1, old) + rows(2, new))[1]]
+    assert got == [("fn_chains.sinkFile", "fn_chains.sink_file"), ("fn_chains.src_file", "fn_chains.source_file")]
+
+
+def test_types_of_columns(spark):
+    one, two = [{"id": "1", "n": 1, "f": 1, "b": True, "t": 5, "s": "x"}], [{"id": "1", "n": ["2"], "f": 1.5, "b": False, "t": "five", "s": ["a", "b"]}]
+    flat, _ = changes(spark, rows(1, one) + rows(2, two))
+    table = canonical_table(flat, canonical_names(flat, schema_changes(flat)))
+    assert {k: v for k, v in table.dtypes if k.startswith("fn_")} == {"fn_chains__id": "string", "fn_chains__n": "bigint", "fn_chains__f": "double", "fn_chains__b": "boolean", "fn_chains__t": "string", "fn_chains__s": "string"}
+    last = table.where("file_id = 2").first()
+    assert (last.fn_chains__n, last.fn_chains__f, last.fn_chains__b, last.fn_chains__t, last.fn_chains__s) == (2, 1.5, False, "five", '["a", "b"]')
