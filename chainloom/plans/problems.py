@@ -40,11 +40,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return reports.items(table(spark, d, "hybrid_reports"))
 
 
+def p6_schema(spark: SparkSession, d: str) -> DataFrame:
+    return reports.schema(table(spark, d, "hybrid_reports"))
+
+
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    return reports.files(table(spark, d, "hybrid_reports"))
+
+
 def p6_chains(spark: SparkSession, d: str) -> DataFrame:
     return reports.chains(table(spark, d, "hybrid_reports"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p5_diff, p5_found, p6_found, p6_chains)}
+def p6_path_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return reports.path_nodes(table(spark, d, "hybrid_reports"))
+
+
+def p6_labels(spark: SparkSession, d: str) -> DataFrame:
+    return reports.labels(table(spark, d, "hybrid_reports"))
+
+
+def p6_fp_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return reports.fp_patterns(table(spark, d, "hybrid_reports"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p5_diff, p5_found, p6_found, p6_schema, p6_files, p6_chains, p6_path_nodes, p6_labels, p6_fp_patterns)}
 
 
 def _p5_sql(values: bool) -> str:
