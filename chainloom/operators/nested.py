@@ -187,20 +187,22 @@ def _elements(v: Column, level: Level) -> Column:
     return F.coalesce(found.otherwise(single), F.array().cast("array<struct<name: string, value: variant>>"))
 
 
-def shred(df: DataFrame, keys: list[str], value: str, tables: list[Level], natural: dict[str, str] | None = None) -> DataFrame:
-    """(*keys, level, row_key, parent_key, ordinals, names, value): the elements of all given levels.
+def shred(df: DataFrame, keys: list[str], value: str, tables: list[Level], natural: dict[str, str] | None = None, kept: list[str] | None = None) -> DataFrame:
+    """(*keys, level, row_key, parent_key, ordinals, names, value): the elements of the kept levels, or of all given.
 
     ordinals and names hold an entry for each level from the outermost to the element's own; a name is the member's
     name in a map, or else the scalar that natural names for the level. Levels whose parents aren't given have no rows.
     """
-    natural = natural or {}
+    natural, kept = natural or {}, kept if kept is not None else [t.path for t in tables]
     rows = df.select(
         *keys, F.lit("").alias("level"), F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("row_key"), F.lit(None).cast("string").alias("parent_key"),
         F.array().cast("array<int>").alias("ordinals"), F.array().cast("array<string>").alias("names"), F.col(value).alias("value"),
     )
     own = ["level", "row_key", "parent_key", "ordinals", "names", "value"]
     for depth in range(1, max((t.depth for t in tables), default=0) + 1):
-        found = F.array(F.struct(*own))
+        # A row that isn't kept ends where its children begin, so that no large value is carried on.
+        alone = F.array(F.struct(*own))
+        found = F.when(F.col("level").isin(*kept), alone).otherwise(F.filter(alone, lambda x: F.lit(False)))
         for parent in sorted({t.parent for t in tables if t.depth == depth}):
             below = [t for t in tables if t.depth == depth and t.parent == parent]
             child = lambda t: F.transform(_elements(F.col("value"), t), lambda e, i: F.struct(
@@ -209,7 +211,7 @@ def shred(df: DataFrame, keys: list[str], value: str, tables: list[Level], natur
             ))
             found = F.when(F.col("level") == parent, F.concat(found, *map(child, below))).otherwise(found)
         rows = rows.select(*keys, F.explode(found).alias("x")).select(*keys, *[f"x.{c}" for c in own])
-    return rows.where("level <> ''")
+    return rows.where(F.col("level").isin(*kept))
 
 
 def _column(kinds: set[str]) -> str:

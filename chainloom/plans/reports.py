@@ -35,8 +35,7 @@ def shredded(raw: DataFrame, shapes: nested.Shapes, wanted) -> DataFrame:
     chosen = [t.path for t in every if wanted(t.path)]
     tables = [t for t in every if any(c == t.path or c.startswith(f"{t.path}.") for c in chosen)]
     parsed = records(raw).select("report_id", nested.once(nested.parse_record(F.col("body"))).alias("report"))
-    rows = nested.shred(parsed, ["report_id"], "report", tables, {"files[]": "file"})
-    return rows.where(F.col("level").isin(*chosen))
+    return nested.shred(parsed, ["report_id"], "report", tables, {"files[]": "file"}, chosen)
 
 
 def _keys(rows: DataFrame) -> list[Column]:
