@@ -7,11 +7,16 @@ rarest a - o + l bits of the one and b - o + l of the other share at least l (l:
 partitions, and with thresholds t of the partitions for which the sum of (t - 1) is l - 1, at least one partition has
 t shared bits: the generalised pigeonhole (pairs that need to share fewer than l bits meet by single bits). The probe of a partition is each combination of t of the set's bits in it.
 
-Correlated bits (n-grams of one word) are found on a bounded sample of SAMPLE records and grouped, and the bits of a
-group are dealt to the partitions in turn, because two of them in one combination would say no more than one. The
-thresholds are allocated by dynamic programming on the numbers of candidates and of probes that the sample predicts
-for the whole collection; frequent partitions get a higher threshold than rare ones, and a larger collection gets
-higher thresholds. Sample, layout and thresholds change only the cost: no pair is lost for any of them.
+Correlated bits (n-grams of one word) are found on a bounded sample of SAMPLE records and kept together: a group goes
+to one partition as a whole. Groups are laid out from rare to frequent, so partitions differ in how often two records
+share a bit of them. The thresholds are allocated by dynamic programming on the numbers of candidates and of probes
+that the sample predicts for the whole collection, over all depths: partitions of rare bits keep a low threshold,
+partitions of frequent ones get a higher one, and a larger collection gets higher thresholds. Sample, layout and
+thresholds change only the cost: no pair is lost for any of them.
+
+A set of more than WIDE bits has each partition split in 2, 4, 8 and so on by hash, with the same thresholds in each, so
+that the probes of a set grow with its bits and not with a power of them. The smaller set of a pair decides how finely
+both are split; a set near the border is entered both ways.
 
 Candidates are met in an equi-join of the probes. Its condition holds what a pair must have: sizes in proportion, and
 folded bit vectors at a Hamming distance that the threshold allows. The pairs that pass are checked exactly on the sets.
@@ -33,8 +38,12 @@ from pyspark.sql import functions as F
 from chainloom.functions.lineage import cut
 from chainloom.operators.graph import components
 
-#: Buckets in which bits are counted, partitions, records in the sample, and the depths that are tried.
-BUCKETS, PARTS, SAMPLE, DEPTHS = 1 << 16, 10, 1_000, (1, 11, 21)
+#: Buckets in which bits are counted, partitions, the highest threshold, and bits above which partitions are split.
+BUCKETS, PARTS, HIGHEST, WIDE = 1 << 16, 10, 3, 256
+#: Records in the sample and bits of each that are looked at.
+SAMPLE, SAMPLE_BITS = 1_000, 512
+#: The depths that are tried.
+DEPTHS = tuple(range(1, PARTS * (HIGHEST - 1) + 2))
 #: Relative cost of writing a probe and of meeting a candidate.
 PROBE_COST, MEET_COST = 30.0, 1.0
 #: Words of 64 bits in the folded vectors.
@@ -100,6 +109,11 @@ def overlap(a: int, b: int, threshold: float) -> int:
     return math.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
+def tier(size: int) -> int:
+    """How many times partitions are halved for sets of this size."""
+    return max(0, math.ceil(math.log2(max(1, size) / WIDE)))
+
+
 class Layout:
     """Counts of the buckets, the partition of each, and the threshold of each partition."""
 
@@ -107,6 +121,7 @@ class Layout:
         self.counts, self.threshold = counts, threshold
         self.part = (np.arange(BUCKETS) * 7919 % BUCKETS) % PARTS
         self.thresholds = np.ones(PARTS, np.int64)
+        self.cost = math.inf
         self.known: dict[tuple[int, int], np.ndarray] = {}
 
     def combinations(self, n: int, t: int) -> np.ndarray:
@@ -114,51 +129,108 @@ class Layout:
             self.known[n, t] = np.array(list(itertools.combinations(range(n), t)), dtype=np.int64).reshape(-1, t)
         return self.known[n, t]
 
-    @property
-    def depth(self) -> int:
-        return int((self.thresholds - 1).sum()) + 1
+    def depth(self, halved: int = 0) -> int:
+        return (int((self.thresholds - 1).sum()) << halved) + 1
 
     def rare_first(self, bits: np.ndarray) -> np.ndarray:
         return bits[np.lexsort((bits, self.counts[(bits % _U(BUCKETS)).astype(np.int64)]))]
 
-    def prefixes(self, size: int, depth: int) -> tuple[int, int]:
-        """How many of a set's rarest bits it needs as the smaller and as the larger of a pair."""
-        return min(size, size - overlap(size, size, self.threshold) + depth), min(size, size - math.ceil(self.threshold * size - 1e-9) + depth)
+    def spare(self, size: int) -> tuple[int, int]:
+        """How many bits the smaller and the larger set of a pair may have that the other lacks."""
+        return size - overlap(size, size, self.threshold), size - math.ceil(self.threshold * size - 1e-9)
 
-    def probes(self, ordered: np.ndarray, depth: int, thresholds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(partition, hash of each combination, whether the smaller set of a pair needs it).
+    def probes(self, ordered: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hash of each combination, whether the smaller set of a pair needs it).
 
         Pairs that need to share fewer bits than the depth, so pairs of small sets, meet by single bits instead.
         """
-        if len(ordered) >= depth:
-            yield from self._probes(ordered, depth, thresholds, 0)
-        if math.ceil(self.threshold * len(ordered) - 1e-9) < depth:
-            yield from self._probes(ordered, 1, np.ones(PARTS, np.int64), PARTS)
-
-    def _probes(self, ordered: np.ndarray, depth: int, thresholds: np.ndarray, salt: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        small, large = self.prefixes(len(ordered), depth)
-        own = ordered[:large]
-        part = self.part[(own % _U(BUCKETS)).astype(np.int64)]
-        for p in range(PARTS):
-            at = np.flatnonzero(part == p)
-            t = int(thresholds[p])
+        size = len(ordered)
+        for halved in range(tier(math.ceil(self.threshold * size - 1e-9)), tier(size) + 1):
+            own, depth = halved == tier(size), self.depth(halved)
+            if size >= depth:
+                for _, h, last in self.combined(ordered, depth, self.thresholds, halved, 2 * halved):
+                    yield h, (last < self.spare(size)[0] + depth) & own
+            if math.ceil(self.threshold * size - 1e-9) < depth:
+                for _, h, last in self.combined(ordered, 1, np.ones(PARTS, np.int64), halved, 2 * halved + 1):
+                    yield h, (last < self.spare(size)[0] + 1) & own
+
+    def combined(self, ordered: np.ndarray, depth: int, thresholds: np.ndarray, halved: int, salt: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(partition, hash, place of its last bit) of the combinations of a set's rarest bits."""
+        own = ordered[: self.spare(len(ordered))[1] + depth]
+        part = (self.part[(own % _U(BUCKETS)).astype(np.int64)] << halved) + ((own >> _U(32)) % _U(1 << halved)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            p = int(part[at[0]]) if len(at) else 0
+            t = int(thresholds[p >> halved])
             if len(at) >= t:
                 chosen = at[self.combinations(len(at), t)]
-                h = np.full(len(chosen), p + salt + 1, _U)
+                h = np.full(len(chosen), p * 1024 + salt + 1, _U)
                 for i in range(t):
                     h = _mix(h + own[chosen[:, i]])
-                yield p, h, chosen[:, -1] < small
+                yield p >> halved, h, chosen[:, -1]
 
 
-def _group_correlated(layout: Layout, sample: list[np.ndarray]) -> None:
-    """Buckets that stand in the same records mostly share the least record by a random order; deal each such group."""
-    least, order = np.full(BUCKETS, np.iinfo(np.int64).max), np.random.default_rng(7).permutation(len(sample))
-    for bits, place in zip(sample, order):
+def _group_correlated(layout: Layout, ordered: list[np.ndarray]) -> None:
+    """Give each group of correlated buckets a partition: from rare to frequent, an equal share of rare bits in each.
+
+    Buckets that stand in the same records mostly share the least record by a random order; those are a group. A bucket
+    that no sampled record has is a group of its own.
+    """
+    group, order = np.arange(BUCKETS) + len(ordered), np.random.default_rng(7).permutation(len(ordered))
+    weight = np.zeros(BUCKETS)
+    for bits, place in zip(ordered, order):
         at = (bits % _U(BUCKETS)).astype(np.int64)
-        least[at] = np.minimum(least[at], place)
-    seen = np.flatnonzero(least < len(sample))
-    seen = seen[np.lexsort((layout.counts[seen], least[seen]))]
-    layout.part[seen] = np.arange(len(seen)) % PARTS
+        group[at] = np.minimum(group[at], place)
+        np.add.at(weight, at[: layout.spare(len(at))[1] + DEPTHS[len(DEPTHS) // 2]], 1)
+    size = np.bincount(group, minlength=BUCKETS + len(ordered))
+    # Groups of one frequency are told apart by a fraction, so that a border may lie between them.
+    often = np.bincount(group, layout.counts, minlength=len(size)) / np.maximum(1, size) + np.arange(len(size)) * 0.6180339887 % 1
+    heavy = np.bincount(group, weight, minlength=len(size))
+    place = np.argsort(often, kind="stable")
+    share = np.cumsum(heavy[place]) / max(1.0, heavy.sum())
+    part = np.empty(len(size), np.int64)
+    part[place] = np.minimum(PARTS - 1, (share * PARTS * (1 - 1e-12)).astype(np.int64))
+    layout.part = part[group]
+
+
+def _predicted(layout: Layout, ordered: list[np.ndarray], records: int) -> np.ndarray:
+    """Cost by (depth, partition, threshold) of probes and candidates, as the sample predicts them for all records."""
+    cost, n = np.full((len(DEPTHS), PARTS, HIGHEST + 1), np.inf), len(ordered)
+    for t in range(1, HIGHEST + 1):
+        found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(PARTS)]
+        for bits in ordered:
+            small, large = layout.spare(len(bits))
+            for p, h, last in layout.combined(bits, DEPTHS[-1], np.full(PARTS, t), 0, 0):
+                found[p].append((h, last - large, last - small))
+        for p in range(PARTS):
+            hashed, large, small = (np.concatenate([x[i] for x in found[p]] or [np.zeros(0, np.int64)]) for i in range(3))
+            order = np.argsort(hashed, kind="stable")
+            hashed, large, small = hashed[order], large[order], small[order]
+            for i, depth in enumerate(DEPTHS):
+                own = large < depth
+                edge = np.flatnonzero(np.concatenate(([True], np.diff(hashed[own].view(np.int64)) != 0))) if own.any() else []
+                if not len(edge):
+                    cost[i, p, t] = 0.0
+                    continue
+                times = np.diff(np.append(edge, own.sum()))
+                probe = np.add.reduceat((small[own] < depth).astype(np.int64), edge)
+                # A sampled record meets itself in each of its own probes; that says nothing about others.
+                met = max(0.0, float((times * probe).sum() - probe.sum()))
+                cost[i, p, t] = PROBE_COST * times.sum() / n * records + MEET_COST * met / (n * max(1, n - 1)) * records * records
+    return cost
+
+
+def allocate(cost: np.ndarray, budget: int) -> tuple[float, list[int]]:
+    """The thresholds with the least total cost (partition, threshold) of which the sum of (t - 1) is the budget."""
+    reach: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for row in cost:
+        step: dict[int, tuple[float, list[int]]] = {}
+        for used, (c, chosen) in reach.items():
+            for t in range(1, len(row)):
+                if used + t - 1 <= budget and c + row[t] < step.get(used + t - 1, (math.inf, []))[0]:
+                    step[used + t - 1] = (c + row[t], [*chosen, t])
+        reach = step
+    return reach.get(budget, (math.inf, []))
 
 
 def plan(counts: np.ndarray, sample: list[np.ndarray], records: int, threshold: float) -> Layout:
@@ -166,54 +238,25 @@ def plan(counts: np.ndarray, sample: list[np.ndarray], records: int, threshold:
     layout = Layout(counts, threshold)
     if not sample:
         return layout
-    _group_correlated(layout, sample)
-    ordered, best = [layout.rare_first(b) for b in sample], math.inf
-    for depth in DEPTHS:
-        cost = np.full((PARTS, 4), np.inf)
-        for t in (1, 2, 3):
-            if (t - 1) * PARTS < (depth - 1) // 2 or t - 1 > depth - 1:
-                continue
-            small, large = [[] for _ in range(PARTS)], [[] for _ in range(PARTS)]
-            for bits in ordered if t < 3 else ordered[: SAMPLE // 2]:
-                for p, h, is_small in layout.probes(bits, depth, np.full(PARTS, t)):
-                    large[p].append(h)
-                    small[p].append(h[is_small])
-            n = len(ordered) if t < 3 else len(ordered[: SAMPLE // 2])
-            for p in range(PARTS):
-                if large[p]:
-                    values, times = np.unique(np.concatenate(large[p]), return_counts=True)
-                    probe, often = np.unique(np.concatenate(small[p]), return_counts=True)
-                    # A sampled record meets itself in each of its own probes; that says nothing about others.
-                    met = max(0.0, float((times[np.searchsorted(values, probe)] * often).sum() - often.sum()))
-                    cost[p, t] = PROBE_COST * times.sum() / n * records + MEET_COST * met / (n * max(1, n - 1)) * records * records
-                else:
-                    cost[p, t] = 0.0
-        reach = {0: (0.0, [])}
-        for p in range(PARTS):
-            step: dict[int, tuple[float, list[int]]] = {}
-            for used, (c, chosen) in reach.items():
-                for t in (1, 2, 3):
-                    total = c + cost[p, t]
-                    if used + t - 1 <= depth - 1 and total < step.get(used + t - 1, (math.inf, []))[0]:
-                        step[used + t - 1] = (total, [*chosen, t])
-            reach = step
-        if reach.get(depth - 1, (math.inf, []))[0] < best:
-            best, chosen = reach[depth - 1]
-            layout.thresholds = np.array(chosen)
+    ordered = [layout.rare_first(b) for b in sample]
+    _group_correlated(layout, ordered)
+    for depth, cost in zip(DEPTHS, _predicted(layout, ordered, records)):
+        total, chosen = allocate(cost, depth - 1)
+        if total < layout.cost:
+            layout.cost, layout.thresholds = total, np.array(chosen)
     layout.known = {}
     return layout
 
 
 def _probe_rows(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        depth = layout.depth
         for batch in batches:
             lists = batch.column(3)
             flat, start = lists.flatten().to_numpy(zero_copy_only=False).view(_U), lists.offsets.to_numpy()
             base, hashes, smalls, sizes = int(start[0]) if len(start) else 0, [np.zeros(0, _U)], [np.zeros(0, bool)], []
             for i in range(len(batch)):
                 n = 0
-                for _, h, small in layout.probes(layout.rare_first(flat[start[i] - base : start[i + 1] - base]), depth, layout.thresholds):
+                for h, small in layout.probes(layout.rare_first(flat[start[i] - base : start[i + 1] - base])):
                     hashes.append(h)
                     smalls.append(small)
                     n += len(h)
@@ -243,9 +286,10 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     counts = np.zeros(BUCKETS, np.int64)
     counts[counted.bucket.to_numpy(np.int64)] = counted.n.to_numpy(np.int64)
     records = one.count()
-    # Few more than SAMPLE records pass the filter, however many partitions there are, so no more reach the driver.
+    # Few more than SAMPLE records pass the filter, however many partitions there are, so no more reach the driver, and
+    # of each no more than SAMPLE_BITS bits, the least by their hash.
     drawn = F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < int(min(1.0, 1.3 * SAMPLE / max(1, records)) * (1 << 30))
-    sample = [np.array(r.bits, np.int64).view(_U) for r in one.where(drawn).select("bits", F.xxhash64("class").alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    sample = [np.array(r.bits, np.int64).view(_U) for r in one.where(drawn).select(F.slice("bits", 1, SAMPLE_BITS).alias("bits"), F.xxhash64("class").alias("h")).orderBy("h").limit(SAMPLE).collect()]
     layout = plan(counts, sample, records, threshold)
     probes = one.mapInArrow(_probe_rows(layout), "probe long, small boolean, class long, size int, " + ", ".join(f"{v} long" for v in VECTOR))
     a = probes.where("small").select("probe", *[F.col(c).alias(f"{c}_a") for c in ("class", "size", *VECTOR)])

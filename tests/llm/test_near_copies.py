@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -48,4 +49,42 @@ def test_plan_prefers_higher_thresholds_for_more_records():
     for s in sample:
         counts[(s % np.uint64(near_copies.BUCKETS)).astype(int)] += 1
     few, many = (near_copies.plan(counts, sample, n, 0.7) for n in (100, 10_000_000))
-    assert few.depth <= many.depth and (many.thresholds - 1).sum() == many.depth - 1
+    assert few.depth() < many.depth() and (many.thresholds - 1).sum() == many.depth() - 1
+    # Partitions of rare bits keep a lower threshold than those of frequent ones.
+    assert len(set(many.thresholds.tolist())) > 1
+
+
+def test_groups_stay_together_and_the_program_is_best():
+    rng = np.random.default_rng(2)
+    words = [np.unique(rng.integers(0, 1 << 40, 6).astype(np.uint64)) for _ in range(60)]
+    sample = [np.unique(np.concatenate([words[i] for i in rng.choice(60, 8, replace=False)])) for _ in range(100)]
+    counts = np.zeros(near_copies.BUCKETS, np.int64)
+    for s in sample:
+        np.add.at(counts, (s % np.uint64(near_copies.BUCKETS)).astype(int), 1)
+    layout = near_copies.plan(counts, sample, 50_000, 0.7)
+    kept = [len(set(layout.part[(w % np.uint64(near_copies.BUCKETS)).astype(int)])) for w in words]
+    assert np.mean(np.array(kept) == 1) > 0.8
+    cost = rng.random((4, 4))
+    cost[:, 0] = np.inf
+    for budget in range(9):
+        every = [(cost[range(4), t].sum(), list(t)) for t in itertools.product((1, 2, 3), repeat=4) if sum(t) - 4 == budget]
+        total, chosen = near_copies.allocate(cost, budget)
+        assert chosen == min(every)[1] and abs(total - min(every)[0]) < 1e-9
+
+
+def test_long_texts(spark):
+    """Probes grow with the bits of a set; pairs are met whatever their sizes and however partitions are split."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    texts = {}
+    for i, n in enumerate((40, 44, 60, 90, 160, 330, 600)):
+        own = [word() for _ in range(n)]
+        texts |= {10 * i: " ".join(own), 10 * i + 1: " ".join(own[: int(n * 0.85)]), 10 * i + 2: " ".join([word() if rng.random() < 0.1 else w for w in own]), 10 * i + 3: " ".join([*own, *(word() for _ in range(n // 3))])}
+    df = spark.createDataFrame(list(texts.items()), "row_id long, joined string")
+    got = near_copies.similar_pairs(df, "row_id", "joined", 0.7)
+    want = brute(texts, 0.7)
+    assert sorted((r.id_a, r.id_b) for r in got.collect()) == want and len(want) > 15
+    layout = near_copies.Layout(np.zeros(near_copies.BUCKETS, np.int64), 0.7)
+    layout.thresholds[:] = 3
+    many = [sum(len(h) for h, _ in layout.probes(np.unique(np.random.default_rng(1).integers(0, 1 << 62, n).astype(np.uint64)))) for n in (1_000, 10_000, 100_000)]
+    assert many[1] < 20 * many[0] and many[2] < 20 * many[1]
