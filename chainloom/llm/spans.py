@@ -2,9 +2,11 @@
 
 Tokens are the GRAM-character substrings of a text, one at each character. Every run of SPAN characters then is a
 window of as many tokens, and the token with the smallest hash in it (the leftmost of equals) is its signature. The
-windows of a text are grouped without listing them: in the Cartesian tree over the token hashes, a node (left, centre,
-right) that is at least a window wide stands for all windows that have the centre's token as their signature, a compact
-window. A text of n characters has about 2n / window of them. Since equal windows have equal signatures, one hash
+windows of a text are grouped without listing them: a node of the Cartesian tree over the token hashes that is at least
+a window wide stands for all windows that have the node's token as their signature, which follow each other; this is a
+compact window. The nodes are read off from the sliding minima of the hashes, so a text takes time in proportion to its
+length whatever it holds, and nodes of equal tokens whose windows follow each other (as in a run of one character) are
+one row. A text of n characters has about 2n / window of them. Since equal windows have equal signatures, one hash
 function is enough for exact spans: two texts that share a run have compact windows with one signature around it.
 
 Signatures that only one record has are dropped by a semi-join. Of the rest, compact windows with the same signature
@@ -81,38 +83,39 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def compact_windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Rows (left, centre, right), right exclusive: the nodes of the Cartesian tree that are at least width wide."""
-    found, waiting = [], [(0, len(hashes))]
-    while waiting:
-        left, right = waiting.pop()
-        if right - left >= width:
-            centre = left + int(hashes[left:right].argmin())
-            found.append((left, centre, right))
-            waiting.append((left, centre))
-            waiting.append((centre + 1, right))
-    return np.array(found, dtype=np.int64).reshape(-1, 3)
+def compact_windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, least): runs of windows, by their first tokens, that have one least token, with its hash."""
+    n = len(hashes) - width + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    # Minima of blocks from their starts and to their ends; a window is the end of one block and the start of the next.
+    blocks = np.full(-(-len(hashes) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    blocks[: len(hashes)] = hashes
+    blocks = blocks.reshape(-1, width)
+    ahead, behind = np.minimum.accumulate(blocks, axis=1).ravel(), np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    edge = np.flatnonzero(least[1:] != least[:-1])
+    return np.concatenate(([0], edge + 1)), np.append(edge, n - 1), least[np.append(edge, n - 1)]
 
 
 def _signatures(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, width = _Powers(), span - gram + 1
         for batch in batches:
-            out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32, np.int32)]
+            out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(text) < span:
                     continue
                 sums = _prefixes(_codes(text), powers)
                 at = np.arange(len(text) - gram + 1)
                 hashes = _hashes(sums, at, at + gram, powers)
-                left, centre, right = compact_windows(hashes, width).T
-                first, last = np.maximum(left, centre - width + 1), np.minimum(centre, right - width)
-                whole = _hashes(sums, first, last + span, powers) + _mix((centre - first).astype(np.uint64))
-                for column, values in zip(out, (hashes[centre], whole, np.full(len(centre), doc), centre, first, last)):
+                first, last, least = compact_windows(hashes, width)
+                whole = _hashes(sums, first, last + span, powers)
+                for column, values in zip(out, (least, whole, np.full(len(first), doc), first, last)):
                     column.append(values)
             columns = [np.concatenate(x) for x in out]
-            types = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t, copy=False) if c.dtype != np.uint64 else c.view(np.int64)) for c, t in zip(columns, types)], ["sig", "whole", "doc", "centre", "first", "last"])
+            types = (np.int64, np.int64, np.int64, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t, copy=False) if c.dtype != np.uint64 else c.view(np.int64)) for c, t in zip(columns, types)], ["sig", "whole", "doc", "first", "last"])
 
     return run
 
@@ -189,9 +192,9 @@ def _explode_windows(span: int):
 
 
 def signatures(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(sig, whole, doc, centre, first, last): the compact windows of all texts (doc, text); first and last are the
+    """(sig, whole, doc, first, last): the compact windows of all texts (doc, text); first and last are the
     starts of the first and last run that each stands for, whole hashes the characters of all its runs."""
-    return texts.mapInArrow(_signatures(span, gram), "sig long, whole long, doc long, centre int, first int, last int")
+    return texts.mapInArrow(_signatures(span, gram), "sig long, whole long, doc long, first int, last int")
 
 
 def shared_spans(df: DataFrame, key: str, text: str, span: int = SPAN, gram: int = GRAM, large: int = LARGE) -> DataFrame:

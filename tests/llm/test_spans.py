@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from chainloom.llm.spans import compact_windows, shared_share, shared_spans
@@ -47,11 +49,19 @@ def test_once_in_one_record_is_not_shared(spark):
 
 
 def test_compact_windows_cover_each_window_once():
-    import numpy as np
-
     h = np.array([random.Random(1).randrange(20) for _ in range(200)], dtype=np.uint64)
-    windows = compact_windows(h, 7)
+    first, last, least = compact_windows(h, 7)
     for i in range(194):
-        centre = i + int(h[i : i + 7].argmin())
-        assert sum(left <= i and i + 7 <= right and c == centre for left, c, right in windows) == 1
-        assert sum(left <= i <= c < i + 7 <= right for left, c, right in windows) == 1
+        assert [v for f, e, v in zip(first, last, least) if f <= i <= e] == [h[i : i + 7].min()]
+    assert all(len(x) == 0 for x in compact_windows(h[:6], 7))
+
+
+def test_runs_of_one_character_take_linear_time(spark):
+    """A million equal tokens are one compact window, and sorted ones are no worse than random ones."""
+    began = time.time()
+    for h in (np.zeros(1_000_000, np.uint64), np.arange(1_000_000, dtype=np.uint64), np.arange(1_000_000, dtype=np.uint64)[::-1]):
+        first, last, _ = compact_windows(h, 101)
+        assert (last - first + 1).sum() == 1_000_000 - 100
+    assert len(compact_windows(np.zeros(1_000_000, np.uint64), 101)[0]) == 1 and time.time() - began < 5
+    df = spark.createDataFrame([(1, "a" * 1_000_000), (2, "b" * 500 + "a" * 300_000), (3, "ab" * 200_000)], "doc_id long, text string")
+    assert sorted(map(tuple, shared_spans(df, "doc_id", "text").collect())) == [(1, 0, 1_000_000), (2, 500, 300_500)]
