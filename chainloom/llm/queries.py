@@ -22,7 +22,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows = entered.groupBy("row_id").agg(F.max(F.struct("label", "cwe")).alias("x")).select("row_id", "x.label", "x.cwe")
     found = canonical.match_values(rows.where("label <> ''").select("label").distinct(), "label", catalog, "entry_id", "label", "aliases")
     codes = catalog.select(canonical.number_in(F.col("cwe")).alias("number"), F.col("entry_id").alias("by_number")).where("number is not null").groupBy("number").agg(F.min("by_number").alias("by_number"))
-    matched = rows.join(found.select(F.col("value").alias("label"), F.col("entry").alias("by_label")), "label", "left").withColumn("number", canonical.number_in(F.col("cwe"))).join(F.broadcast(codes), "number", "left")
+    matched = rows.join(found.select(F.col("value").alias("label"), F.col("entry").alias("by_label")), "label", "left").withColumn("number", canonical.number_in(F.col("cwe"))).join(codes, "number", "left")
     return matched.select("row_id", F.coalesce("by_label", "by_number", F.lit(0)).alias("entry_id"))
 
 

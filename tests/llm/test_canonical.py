@@ -26,4 +26,16 @@ def test_numbers(spark):
 
 
 def test_tokens():
-    assert tokens_of("Likely Zíp_slip in DAO layer") == ["zip", "slip"]
+    assert tokens_of("Likely Zíp_slip [HIGH] in DA0 layer") == ["likely", "zip", "slip", "in", "dao", "layer"]
+    assert tokens_of("Zip (slip)", remarks=True) == ["zip", "slip"]
+
+
+def test_long_names_and_free_words(spark):
+    """A name of 40 letters in one word is met with three edits; words around a name cost little when many have them."""
+    name = "supercalifragilisticexpialidociousnessxx"
+    reference = spark.createDataFrame([(1, name), (2, "sql injection"), (3, "xss")], "entry_id int, label string")
+    wrong = [name[:12] + "q" + name[13:], name[:5] + name[6:20] + "zz" + name[20:], "x" + name[1:30] + name[31:39]]
+    around = [f"{w} {n} in any place" for w in ("surely", "maybe", "odd") for n in ("xss", "sql injecton", "other thing", "more", "text")]
+    df = spark.createDataFrame([(v,) for v in [*wrong, *around]], "label string")
+    got = {r.value: r.entry for r in match_values(df, "label", reference, "entry_id", "label").collect()}
+    assert got == dict.fromkeys(wrong, 1) | {v: 3 if "xss" in v else 2 for v in around if "xss" in v or "sql" in v}
