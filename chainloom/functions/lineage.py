@@ -6,15 +6,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and return the written copy.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (a local
-    test session) a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's spark.checkpoint.dir. Only a local session, of one machine, may
+    leave it unset and gets a temporary folder; on a cluster that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and return the written copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -25,7 +31,4 @@ def partitions(spark: SparkSession) -> int:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder of that name in the shared folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

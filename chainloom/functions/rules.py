@@ -17,20 +17,49 @@ KINDS = (
 )
 # What the snippet of a source shows about it, first match wins.
 SOURCE_KINDS = (
-    ("user_input", r"getParameter|getHeader|getCookie|getInputStream|getQueryString|getReader|getRemoteUser|getRemoteAddr|@RequestParam|@PathVariable|@RequestBody"),
-    ("external_data", r"FileReader|readLine|readAllBytes|InputStream|deserialize|readObject|Scanner|BufferedReader|\.readValue"),
-    ("session_data", r"getSession|getAttribute|getNote|getClaim|getAuthenticatedUser|getPrincipal|getCredentials|session\.get"),
-    ("database", r"ResultSet|getString|getInt|getObject|findBy|getOne|findAll"),
+    (
+        "user_input",
+        r"getParameter\(|getHeader\(|getCookies\(|getInputStream\(|getQueryString\("
+        r"|@RequestParam|@PathVariable|@RequestBody|@CookieValue|@RequestHeader"
+        r"|@QueryParam|@FormParam|@HeaderParam|@PathParam|@MatrixParam"
+        r"|getFormParameters\(|getDecodedFormParameters\("
+        r"|getReader\(|getRemoteUser\(|getRemoteAddr\(",
+    ),
+    ("external_data", r"FileReader\(|readLine\(|readAllBytes\(|InputStream|deserialize\(|readObject\(|Scanner\(|BufferedReader\(|\.readValue\("),
+    ("session_data", r"getSession\(|getAttribute\(|getNote\(|getClaim\(|getAuthenticatedUser\(|getPrincipal\(|getCredentials\(|session\.get"),
+    ("database", r"ResultSet|getString\(|getInt\(|getObject\(|findBy|getOne\(|findAll\("),
 )
 # What the snippet of a sink shows about it, first match wins.
 SINK_KINDS = (
-    ("direct_execution", r"\.execute|\.exec\(|ProcessBuilder|Runtime\.getRuntime|createQuery|createNativeQuery|Class\.forName|ScriptEngine|GroovyShell|\.invoke\(|\.eval\("),
-    ("event_logging", r"(?:log|LOG|logger|LOGGER)\.(?:trace|debug|info|warn|error)\(|MDC\."),
-    ("output_rendering", r"\.write\(|\.print\(|\.println\(|sendRedirect|getWriter|addAttribute|\.forward\(|\.include\(|sendError|\.render|Response\.ok|\.setHeader\("),
-    ("resource_access", r"FileOutputStream|FileWriter|new URL|openConnection|HttpClient|HttpURLConnection|new File|Paths\.get|\.open\("),
-    ("benign", r"Base64|StringBuilder|\.append\(|String\.format|toString\(\)"),
-    ("data_storage", r"setAttribute|persist|\.save\(|\.merge\(|\.insert\(|\.update\(|\.put\("),
-    ("framework_api", r"new [A-Z][A-Za-z0-9_]*\(|\.set[A-Z]"),
+    (
+        "direct_execution",
+        r"execute\(|executeQuery\(|executeUpdate\(|exec\(|ProcessBuilder|Runtime\.getRuntime\(|createQuery\(|createNativeQuery\(|nativeQuery\("
+        r"|Class\.forName\(|classForName\(|ScriptEngine|GroovyShell|Method\.invoke\(",
+    ),
+    (
+        "event_logging",
+        r"\b(LOG|LOGGER|log|logger)\s*\.\s*(info|warn|debug|error|trace|fatal)\("
+        r"|\b(?:listener\.)?getLogger\(\)\s*\.\s*(?:print|println|printf)\(|\blistener\s*\.\s*fatalError\("
+        r"|\b(slf4j|Slf4j|SLF4J)\b|\bMDC\.(put|get)\(|\bAudit(Event|Log|Logger)\b",
+    ),
+    (
+        "output_rendering",
+        r"\.write\(|println\(|print\(|sendRedirect\(|getWriter\(|addAttribute\(|forward\(|include\(|sendError\("
+        r"|renderResponse\(|renderTemplate\(|Response\.ok\(|ResponseEntity\.ok\(",
+    ),
+    ("resource_access", r"FileOutputStream\(|FileWriter\(|new URL\(|openConnection\(|HttpClient|HttpURLConnection|new File\(|Paths\.get\(|DocumentBuilder|SAXParser|XMLReader"),
+    (
+        "benign",
+        r"\bBase64(Url|Utils)?\.(encode|encodeBytes|encodeToString)\(|\bHex\.encode(Hex|String)?\(|\bStringBuilder\b\s*\(\s*\)?|sb\.append\(|String\.format\(|\.toString\(\)\s*$",
+    ),
+    ("data_storage", r"setAttribute\(|persist\(|save\(|merge\(|insert\(|update\(|put\("),
+    ("framework_api", r"new\s+\w+\(|set[A-Z]\w+\("),
+)
+# What the kind of a weakness says about a sink of which the snippet says nothing.
+SINK_OF_KIND = (
+    ("direct_execution", ("sql_injection", "command_injection", "code_injection", "deserialization")),
+    ("output_rendering", ("xss", "open_redirect")),
+    ("resource_access", ("path_traversal", "ssrf", "xxe")),
 )
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 

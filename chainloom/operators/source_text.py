@@ -49,17 +49,31 @@ SINKS = (
     ("path_traversal", "open|delete"),
 )
 # Sanitizers: type, what it protects from, effectiveness, pattern.
+_ALL = "sql_injection,xss,command_injection,path_traversal"
 SANITIZERS = (
-    ("prepared_statement", "sql_injection", 1.0, r"\.prepareStatement\("),
-    ("parameterized_query", "sql_injection", 1.0, r"\.set(?:String|Int|Long|Float|Double|Object|Boolean)\("),
-    ("jpa_parameter", "sql_injection", 0.95, r"\.(?:setParameter|createNamedQuery)\("),
-    ("html_escape", "xss", 0.95, r"htmlEscape|escapeHtml"),
-    ("path_normalization", "path_traversal", 0.5, r"\.normalize\(\)"),
-    ("path_prefix_check", "path_traversal", 0.5, r"\.startsWith\("),
-    ("canonical_path", "path_traversal", 0.5, r"\.getCanonical(?:Path|File)\("),
-    ("regex_validation", "sql_injection,xss,command_injection,path_traversal", 0.9, r"\.matches\("),
-    ("numeric_parse", "sql_injection,command_injection", 0.9, r"(?:Integer\.parseInt|Long\.parseLong|Double\.parseDouble|\.valueOf)\("),
-    ("uuid_validation", "sql_injection,command_injection,path_traversal", 0.9, r"UUID\.fromString\("),
+    ("prepared_statement", "sql_injection", 1.0, r"(?i)\.prepareStatement\s*\("),
+    ("parameterized_query", "sql_injection", 1.0, r"\.\s*set(String|Int|Long|Float|Double|Object|Boolean)\s*\("),
+    ("jpa_parameter", "sql_injection", 0.95, r"\.setParameter\s*\(|\.createNamedQuery\s*\("),
+    ("jdbc_template_param", "sql_injection", 0.9, r"NamedParameterJdbcTemplate|jdbcTemplate\.query(ForObject|ForList)?\s*\(\s*[^,]+,\s*\w+,"),
+    ("html_escape", "xss", 0.95, r"HtmlUtils\s*\.\s*htmlEscape\s*\("),
+    ("html_escape", "xss", 0.95, r"StringEscapeUtils\s*\.\s*escape(Html3?|Html4?|Xml(10|11)?|EcmaScript|Java(Script)?|Csv)\s*\("),
+    ("esapi_encode", "xss", 0.95, r"ESAPI\s*\.\s*encoder\s*\(\s*\)\s*\.\s*encode\w*\s*\("),
+    ("jsoup_clean", "xss", 0.9, r"\bJsoup\s*\.\s*clean\s*\("),
+    ("html_escape", "xss", 0.9, r"HtmlUtils\s*\.\s*htmlEscape(Decimal|Hex)?\s*\("),
+    ("path_normalization", "path_traversal", 0.5, r"\.normalize\s*\(\s*\)"),
+    ("path_prefix_check", "path_traversal", 0.5, r"\.startsWith\s*\("),
+    ("path_traversal_check", "path_traversal", 0.9, r'\.contains\s*\(\s*"\.\."\s*\)'),
+    ("path_segment_removal", "path_traversal", 0.9, r'\.replace\s*\(\s*"\.\./"\s*,\s*""\s*\)'),
+    ("canonical_path", "path_traversal", 0.5, r"\.getCanonical(Path|File)\s*\("),
+    ("process_builder_args", "command_injection", 0.9, r'new\s+ProcessBuilder\s*\(\s*"[^"]*"\s*,'),
+    ("process_builder_list", "command_injection", 0.9, r"new\s+ProcessBuilder\s*\(\s*(Arrays\.asList|List\.of|new\s+ArrayList)"),
+    ("exec_string_array", "command_injection", 0.9, r"\.exec\s*\(\s*new\s+String\s*\["),
+    ("string_array_command", "command_injection", 0.9, r"String\s*\[\s*\]\s+\w+\s*=\s*\{"),
+    ("regex_validation", _ALL, 0.9, r'\.matches\s*\(\s*"[^"]*"'),
+    ("pattern_matcher_validation", _ALL, 0.9, r"Pattern\s*\.\s*compile\s*\([^)]+\)\.matcher\s*\([^)]+\)\s*\.\s*matches\s*\("),
+    ("bean_validation", _ALL, 0.85, r"javax\.validation\.|jakarta\.validation\.|@Valid\b|Validator\s*\.\s*validate\s*\("),
+    ("numeric_parse", "sql_injection,command_injection", 0.9, r"(Integer\.parseInt|Long\.parseLong|Double\.parseDouble)\s*\("),
+    ("uuid_validation", "sql_injection,command_injection,path_traversal", 0.9, r"UUID\s*\.\s*fromString\s*\("),
 )
 # Words that make a file worth a look.
 RELEVANT = r"getParameter|getHeader|getQueryString|readLine|readObject|executeQuery|executeUpdate|\.exec\(|sendRedirect|ProcessBuilder|\.eval\("

@@ -262,17 +262,20 @@ _CHAINS = "(SELECT DISTINCT ON (row_id) * FROM chains ORDER BY row_id, loaded_at
 _UNIT = "CASE WHEN confidence IS NULL OR isnan(confidence) THEN NULL WHEN confidence > 1 THEN least(confidence / 100, 1.0) ELSE greatest(confidence, 0.0) END"
 
 
-def chain_rows(spark, d) -> DataFrame:
-    """chains with each row_id once: the earliest loaded of its redelivered rows."""
-    chains = table(spark, d, "chains")
-    rest = [c for c in chains.columns if c != "row_id"]
-    return chains.groupBy("row_id").agg(F.min_by(F.struct(*rest), F.struct("loaded_at")).alias("x")).select("row_id", "x.*")
+def chain_rows(spark, d, *columns: str) -> DataFrame:
+    """The given columns of chains, each row_id once: the earliest loaded of its redelivered rows. Only these columns
+    and loaded_at are read and shuffled; members of source and sink are given with their dots and keep them."""
+    ends: dict[str, list[str]] = {}
+    for c in columns:
+        ends.setdefault(c.split(".")[0], []).append(c)
+    parts = [F.col(c) if own == [c] and "." not in own[0] else F.struct(*[F.col(x).alias(x.split(".")[1]) for x in own]).alias(c) for c, own in ends.items()]
+    return table(spark, d, "chains").groupBy("row_id").agg(F.min_by(F.struct(*parts), F.struct("loaded_at")).alias("x")).select("row_id", "x.*")
 
 
 @query("SELECT row_id, concat(source.variable, '_to_', sink.variable, '_', substr(sha256(concat_ws(chr(0), source.file, source.line::VARCHAR, sink.file, sink.line::VARCHAR, array_to_string(path, chr(0)))), 1, 20)) AS stable_id FROM " + _CHAINS + " WHERE path IS NOT NULL AND source.variable IS NOT NULL AND sink.variable IS NOT NULL")
 def chain_ids(spark, d):
     key = F.sha2(F.concat_ws("\0", "source.file", F.col("source.line").cast("string"), "sink.file", F.col("sink.line").cast("string"), F.array_join("path", "\0")), 256)
-    rows = chain_rows(spark, d).where("path is not null and source.variable is not null and sink.variable is not null")
+    rows = chain_rows(spark, d, "path", "source.variable", "source.file", "source.line", "sink.variable", "sink.file", "sink.line").where("path is not null and source.variable is not null and sink.variable is not null")
     return rows.select("row_id", F.concat("source.variable", F.lit("_to_"), "sink.variable", F.lit("_"), F.substring(key, 1, 20)).alias("stable_id"))
 
 
@@ -280,7 +283,7 @@ _PASS = "SELECT row_id, sv, sf, kv, kf, vuln_type FROM (SELECT row_id, source.va
 
 
 def _deduped(spark, d, part: str) -> DataFrame:
-    own = chain_rows(spark, d).select("row_id", F.col("source.variable").alias("sv"), F.col("source.file").alias("sf"), F.col(f"source.{part}").alias("sp"), F.col("sink.variable").alias("kv"), F.col("sink.file").alias("kf"), F.col(f"sink.{part}").alias("kp"), "vuln_type", F.coalesce(F.size("path"), F.lit(0)).alias("n"), F.coalesce(rules.unit_confidence(F.col("confidence")), F.lit(0.0)).alias("c"))
+    own = chain_rows(spark, d, "path", "vuln_type", "confidence", *[f"{e}.{m}" for e in ("source", "sink") for m in ("variable", "file", part)]).select("row_id", F.col("source.variable").alias("sv"), F.col("source.file").alias("sf"), F.col(f"source.{part}").alias("sp"), F.col("sink.variable").alias("kv"), F.col("sink.file").alias("kf"), F.col(f"sink.{part}").alias("kp"), "vuln_type", F.coalesce(F.size("path"), F.lit(0)).alias("n"), F.coalesce(rules.unit_confidence(F.col("confidence")), F.lit(0.0)).alias("c"))
     own = own.withColumn("n", F.greatest("n", F.lit(0)))
     return matching.first_by(own, ["sv", "sf", "sp", "kv", "kf", "kp", "vuln_type"], F.col("n"), -F.col("c"), F.col("row_id")).select("row_id", "sv", "sf", "kv", "kf", "vuln_type")
 
@@ -299,7 +302,7 @@ def chain_dedup_functions(spark, d):
 def chain_filters(spark, d):
     """Chains between two functions of one file by a name that they share, and chains whose snippets lack the names."""
     side = lambda s: (F.coalesce(f"{s}.code_snippet", F.lit("")) != "") & (F.length(f"{s}.variable") > 1) & ~F.contains(F.col(f"{s}.code_snippet"), F.col(f"{s}.variable"))
-    return chain_rows(spark, d).select("row_id", ((F.col("source.file") == F.col("sink.file")) & (F.col("source.function_name") != F.col("sink.function_name"))).alias("crosses_functions"), (side("source") & side("sink")).alias("low_quality"))
+    return chain_rows(spark, d, *[f"{e}.{m}" for e in ("source", "sink") for m in ("variable", "file", "function_name", "code_snippet")]).select("row_id", ((F.col("source.file") == F.col("sink.file")) & (F.col("source.function_name") != F.col("sink.function_name"))).alias("crosses_functions"), (side("source") & side("sink")).alias("low_quality"))
 
 
 def _first(text: str, pairs, otherwise: str) -> str:
@@ -314,15 +317,16 @@ _CWE_OF = lambda kind, other: "CASE " + kind + " " + " ".join(f"WHEN {quoted(k)}
 
 @query(f"SELECT row_id, {_NUMBER('cwe')} AS cwe, {_KIND_OF('vulnerability_label')} AS kind FROM {_CHAINS}")
 def weakness_kinds(spark, d):
-    return chain_rows(spark, d).select("row_id", rules.weakness_number(F.col("cwe")).alias("cwe"), rules.weakness_kind(F.col("vulnerability_label")).alias("kind"))
+    return chain_rows(spark, d, "cwe", "vulnerability_label").select("row_id", rules.weakness_number(F.col("cwe")).alias("cwe"), rules.weakness_kind(F.col("vulnerability_label")).alias("kind"))
 
 
-_SRC_KIND, _SINK_KIND = _first("source.code_snippet", rules.SOURCE_KINDS, quoted("internal_api")), _first("sink.code_snippet", rules.SINK_KINDS, quoted("unknown"))
+_BY_KIND = "CASE " + " ".join(f"WHEN vuln_type IN ({', '.join(map(quoted, kinds))}) THEN {quoted(n)}" for n, kinds in rules.SINK_OF_KIND) + " ELSE 'unknown' END"
+_SRC_KIND, _SINK_KIND = _first("source.code_snippet", rules.SOURCE_KINDS, quoted("internal_api")), _first("sink.code_snippet", rules.SINK_KINDS, _BY_KIND)
 
 
 @query(f"SELECT row_id, {_SRC_KIND} AS source_kind, {_SINK_KIND} AS sink_kind FROM {_CHAINS}")
 def endpoint_kinds(spark, d):
-    return chain_rows(spark, d).select("row_id", _source_kind().alias("source_kind"), _sink_kind().alias("sink_kind"))
+    return chain_rows(spark, d, "vuln_type", "source.code_snippet", "sink.code_snippet").select("row_id", _source_kind().alias("source_kind"), _sink_kind().alias("sink_kind"))
 
 
 def _source_kind():
@@ -330,12 +334,13 @@ def _source_kind():
 
 
 def _sink_kind():
-    return rules.first_match(F.col("sink.code_snippet"), rules.SINK_KINDS, F.lit("unknown"))
+    by_kind = F.coalesce(*[F.when(F.col("vuln_type").isin(*kinds), n) for n, kinds in rules.SINK_OF_KIND], F.lit("unknown"))
+    return rules.first_match(F.col("sink.code_snippet"), rules.SINK_KINDS, by_kind)
 
 
 @query(f"SELECT row_id, source_kind, sink_kind, confidence, round(adjusted, 6) AS adjusted FROM (SELECT row_id, {_SRC_KIND} AS source_kind, {_SINK_KIND} AS sink_kind, {_UNIT} AS confidence, ({_UNIT}) * CASE WHEN {_SINK_KIND} IN ('benign', 'event_logging') THEN 0.1::DOUBLE WHEN {_SINK_KIND} IN ('data_storage', 'framework_api') AND {_SRC_KIND} IN ('session_data', 'internal_api', 'database') THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS adjusted FROM {_CHAINS}) WHERE adjusted >= 0.5")
 def confidence_adjust(spark, d):
-    own = chain_rows(spark, d).select("row_id", _source_kind().alias("source_kind"), _sink_kind().alias("sink_kind"), rules.unit_confidence(F.col("confidence")).alias("confidence"))
+    own = chain_rows(spark, d, "vuln_type", "confidence", "source.code_snippet", "sink.code_snippet").select("row_id", _source_kind().alias("source_kind"), _sink_kind().alias("sink_kind"), rules.unit_confidence(F.col("confidence")).alias("confidence"))
     adjusted = rules.adjusted_confidence(F.col("confidence"), F.col("source_kind"), F.col("sink_kind"))
     return own.withColumn("adjusted", adjusted).where("adjusted >= 0.5").withColumn("adjusted", F.round("adjusted", 6))
 
@@ -345,13 +350,13 @@ _BASE = "CASE vuln_type " + " ".join(f"WHEN {quoted(k)} THEN {rules.LEVELS.index
 
 @query(f"SELECT vuln_type, severity, count(*) AS n, min(cwe_id) AS cwe_id FROM (SELECT vuln_type, {_CWE_OF('vuln_type', quoted('CWE-UNKNOWN'))} AS cwe_id, (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[1 + greatest(0, {_BASE} - CASE WHEN coalesce({_UNIT}, 0) < 0.6 THEN 1 ELSE 0 END)] AS severity FROM {_CHAINS}) GROUP BY vuln_type, severity")
 def severity_rollup(spark, d):
-    own = chain_rows(spark, d).select("vuln_type", rules.severity(F.col("vuln_type"), F.coalesce(rules.unit_confidence(F.col("confidence")), F.lit(0.0)), F.lit(0)).alias("severity"), rules.weakness_of(F.col("vuln_type"), F.lit("CWE-UNKNOWN")).alias("cwe_id"))
+    own = chain_rows(spark, d, "vuln_type", "confidence").select("vuln_type", rules.severity(F.col("vuln_type"), F.coalesce(rules.unit_confidence(F.col("confidence")), F.lit(0.0)), F.lit(0)).alias("severity"), rules.weakness_of(F.col("vuln_type"), F.lit("CWE-UNKNOWN")).alias("cwe_id"))
     return own.groupBy("vuln_type", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("cwe_id").alias("cwe_id"))
 
 
 @query(f"SELECT source, sink, source_confidence, sink_confidence, (source_confidence + sink_confidence) / 2 AS confidence FROM (SELECT concat(project, ':', source.variable) AS source, concat(project, ':', sink.variable) AS sink, max({_UNIT}) AS source_confidence, min({_UNIT}) AS sink_confidence FROM {_CHAINS} WHERE source.variable IS NOT NULL AND sink.variable IS NOT NULL AND project IS NOT NULL GROUP BY 1, 2) WHERE source_confidence IS NOT NULL ORDER BY confidence DESC, source_confidence DESC, sink_confidence DESC, source DESC, sink DESC LIMIT 100")
 def candidate_topk(spark, d):
-    own = chain_rows(spark, d).where("source.variable is not null and sink.variable is not null and project is not null")
+    own = chain_rows(spark, d, "project", "confidence", "source.variable", "sink.variable").where("source.variable is not null and sink.variable is not null and project is not null")
     c = rules.unit_confidence(F.col("confidence"))
     pairs = own.groupBy(F.concat_ws(":", "project", "source.variable").alias("source"), F.concat_ws(":", "project", "sink.variable").alias("sink")).agg(F.max(c).alias("source_confidence"), F.min(c).alias("sink_confidence"))
     return graph.ranked_pairs(pairs.where("source_confidence is not null"), 100)
@@ -360,7 +365,7 @@ def candidate_topk(spark, d):
 @query(f"SELECT project, backend, section, count(*) AS n, count(DISTINCT file) AS files, round(avg({_UNIT}), 6) AS mean_confidence FROM {_CHAINS} GROUP BY ROLLUP (project, backend, section)")
 def chain_rollup(spark, d):
     c = rules.unit_confidence(F.col("confidence"))
-    return chain_rows(spark, d).rollup("project", "backend", "section").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"), F.round(F.avg(c), 6).alias("mean_confidence"))
+    return chain_rows(spark, d, "project", "backend", "section", "file", "confidence").rollup("project", "backend", "section").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"), F.round(F.avg(c), 6).alias("mean_confidence"))
 
 
 _TEST = r"(?:^|/)(?:test|tests|testing|it|integration-test)/|(?:Test|Tests|IT|TestCase)\.java$"
@@ -369,13 +374,13 @@ _SKIP = r"(?:^|/)(?:build|target|out|dist|node_modules|\.git|generated)/"
 
 @query(f"SELECT file, count(*) AS chains FROM {_CHAINS} WHERE file IS NOT NULL AND NOT regexp_matches(file, {quoted(_TEST)}) AND NOT regexp_matches(file, {quoted(_SKIP)}) GROUP BY file")
 def source_discovery(spark, d):
-    return chain_rows(spark, d).where(F.col("file").isNotNull() & ~F.col("file").rlike(_TEST) & ~F.col("file").rlike(_SKIP)).groupBy("file").agg(F.count(F.lit(1)).alias("chains"))
+    return chain_rows(spark, d, "file").where(F.col("file").isNotNull() & ~F.col("file").rlike(_TEST) & ~F.col("file").rlike(_SKIP)).groupBy("file").agg(F.count(F.lit(1)).alias("chains"))
 
 
 @query(f"SELECT row_id, (len(list_filter(a, lambda x: NOT list_contains(b, x))) + len(list_filter(b, lambda x: NOT list_contains(a, x))))::DOUBLE / greatest(length(sv), length(kv), 1) AS distance FROM (SELECT row_id, source.variable AS sv, sink.variable AS kv, list_distinct(string_split(source.variable, '')) AS a, list_distinct(string_split(sink.variable, '')) AS b FROM {_CHAINS} WHERE source.variable <> '' AND sink.variable <> '')")
 def name_distance(spark, d):
     """Letters that only one of two names has, by the longer name: the fall-back heuristic of path search."""
-    rows = chain_rows(spark, d).select("row_id", F.col("source.variable").alias("sv"), F.col("sink.variable").alias("kv")).where("sv <> '' and kv <> ''")
+    rows = chain_rows(spark, d, "source.variable", "sink.variable").select("row_id", F.col("source.variable").alias("sv"), F.col("sink.variable").alias("kv")).where("sv <> '' and kv <> ''")
     letters = lambda c: F.array_distinct(F.split(c, ""))
     apart = F.size(F.array_except(letters("sv"), letters("kv"))) + F.size(F.array_except(letters("kv"), letters("sv")))
     return rows.select("row_id", (apart / F.greatest(F.length("sv"), F.length("kv"), F.lit(1))).alias("distance"))
@@ -384,7 +389,7 @@ def name_distance(spark, d):
 @query(f"SELECT row_id, round(0.4 * c + 0.5 * v + 0.1 * greatest(0.5, 1 - 0.05 * (n - 2)) * CASE WHEN same THEN 0.5 ELSE 1 END * CASE WHEN n <= 2 THEN 0.8 ELSE 1 END, 6)::DOUBLE AS overall FROM (SELECT row_id, ({_UNIT})::DOUBLE AS c, (CASE section WHEN 'tp_matched' THEN 0.95 WHEN 'fp_chains' THEN 0.1 ELSE 0.6 END)::DOUBLE AS v, len(path) AS n, source.variable = sink.variable AS same FROM {_CHAINS} WHERE len(path) > 0) WHERE c IS NOT NULL AND same IS NOT NULL")
 def overall_confidence(spark, d):
     """Confidence of the finding, of its verification and of its path, which falls with length, weighted."""
-    rows = chain_rows(spark, d).where(F.size("path") > 0).select("row_id", rules.unit_confidence(F.col("confidence")).alias("c"), F.when(F.col("section") == "tp_matched", 0.95).when(F.col("section") == "fp_chains", 0.1).otherwise(0.6).alias("v"), F.size("path").alias("n"), (F.col("source.variable") == F.col("sink.variable")).alias("same"))
+    rows = chain_rows(spark, d, "section", "path", "confidence", "source.variable", "sink.variable").where(F.size("path") > 0).select("row_id", rules.unit_confidence(F.col("confidence")).alias("c"), F.when(F.col("section") == "tp_matched", 0.95).when(F.col("section") == "fp_chains", 0.1).otherwise(0.6).alias("v"), F.size("path").alias("n"), (F.col("source.variable") == F.col("sink.variable")).alias("same"))
     path = F.greatest(F.lit(0.5), 1 - 0.05 * (F.col("n") - 2)) * F.when(F.col("same"), 0.5).otherwise(1.0) * F.when(F.col("n") <= 2, 0.8).otherwise(1.0)
     return rows.where("c is not null and same is not null").select("row_id", F.round(0.4 * F.col("c") + 0.5 * F.col("v") + 0.1 * path, 6).alias("overall"))
 
@@ -542,16 +547,15 @@ def graph_full_components(spark, d):
 _LABELS = "(SELECT DISTINCT ON (label_key) * FROM tp_labels ORDER BY label_key)"
 
 
-def label_rows(spark, d) -> DataFrame:
-    labels = table(spark, d, "tp_labels")
-    rest = [c for c in labels.columns if c != "label_key"]
-    return labels.groupBy("label_key").agg(F.min(F.struct(*rest)).alias("x")).select("label_key", "x.*")
+def label_rows(spark, d, *columns: str) -> DataFrame:
+    """The given columns of tp_labels, each label_key once."""
+    return table(spark, d, "tp_labels").groupBy("label_key").agg(F.min(F.struct(*columns)).alias("x")).select("label_key", "x.*")
 
 
 @query(f"SELECT l.label_key, f.finding_key FROM {_LABELS} l JOIN (SELECT DISTINCT finding_key, project_name, sink_name, sink_at FROM scan_findings) f ON l.project = f.project_name AND l.sink_var = f.sink_name AND abs(l.sink_line - f.sink_at) <= 5")
 def label_band_match(spark, d):
     """Findings at most 5 lines from a label's sink, by the names as they are written."""
-    a = label_rows(spark, d).select("label_key", "project", "sink_var", "sink_line")
+    a = label_rows(spark, d, "project", "sink_var", "sink_line")
     b = table(spark, d, "scan_findings").select("finding_key", F.col("project_name").alias("project"), F.col("sink_name").alias("sink_var"), "sink_at").distinct()
     return matching.band_join(a, b, ["project", "sink_var"], "sink_line", "sink_at", 5).select("label_key", "finding_key")
 
@@ -568,7 +572,7 @@ _DIV = lambda a, b: f"round(coalesce(({a})::DOUBLE / nullif({b}, 0), 0), 4)"  #
 @query(f"SELECT vuln_type, tp, fp, unclassified, {_DIV('tp', 'tp + fp + unclassified')} AS precision, {_DIV('tp', 'tp + fp')} AS precision_known FROM (SELECT vuln_type, {_CASES} FROM {_CHAINS} GROUP BY vuln_type)")
 def precision_by_kind(spark, d):
     n = lambda s: F.count(F.when(F.col("section") == s, 1))
-    rows = chain_rows(spark, d).groupBy("vuln_type").agg(n("tp_matched").alias("tp"), n("fp_chains").alias("fp"), n("unclassified_chains").alias("unclassified"))
+    rows = chain_rows(spark, d, "vuln_type", "section").groupBy("vuln_type").agg(n("tp_matched").alias("tp"), n("fp_chains").alias("fp"), n("unclassified_chains").alias("unclassified"))
     return rows.select("*", rules.ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("unclassified")).alias("precision"), rules.ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision_known"))
 
 
@@ -576,9 +580,9 @@ _EVALS = "(SELECT DISTINCT ON (eval_id) * FROM file_evals_a ORDER BY eval_id, up
 
 
 def eval_rows(spark, d) -> DataFrame:
-    evals = table(spark, d, "file_evals_a")
-    rest = [c for c in evals.columns if c not in ("eval_id", "updated_at")]
-    return evals.groupBy("eval_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at")).alias("x")).select("eval_id", "x.*").where(~F.coalesce("is_deleted", F.lit(False)))
+    """The counts of file_evals_a, each eval_id by its last version; withdrawn rows are left out."""
+    rest = ["report", "project", "found_tp", "fp", "fn", "is_deleted"]
+    return table(spark, d, "file_evals_a").groupBy("eval_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at")).alias("x")).select("eval_id", "x.*").where(~F.coalesce("is_deleted", F.lit(False)))
 
 
 _SUMS = "coalesce(sum(found_tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp, coalesce(sum(fn), 0)::BIGINT AS fn"

@@ -25,7 +25,7 @@ def canonical_names(spark, d):
     root = lambda c: F.nullif(F.regexp_extract(F.trim(c), _ROOT, 1), F.lit(""))
     name = lambda c: F.regexp_replace(F.trim(F.element_at(F.split(F.lower(c), ":"), -1)), r"^this\.", "")
     ends = [x for e in ("source", "sink") for x in (root(f"{e}.variable").alias(f"{e}_root"), name(f"{e}.variable").alias(f"{e}_name"))]
-    return chain_rows(spark, d).select("row_id", *ends)
+    return chain_rows(spark, d, "source.variable", "sink.variable").select("row_id", *ends)
 
 
 _CONTROL = r"^\s*\}?\s*(?:if|else|for|while|switch|try|catch|finally|do)\b[^;]*$"
@@ -38,7 +38,7 @@ def snippet_kinds(spark, d):
     """What the text of a sink is (only operations can do harm), and whether that of a source sets its variable."""
     source, sink = F.coalesce("source.code_snippet", F.lit("")), F.coalesce("sink.code_snippet", F.lit(""))
     declares = F.when(source.rlike(source_text.STATEMENT), F.regexp_extract(source, source_text.STATEMENT, 1) == F.col("source.variable")).otherwise(False)
-    return chain_rows(spark, d).select("row_id", rules.first_match(sink, _SNIPPETS, F.lit("other")).alias("sink_text"), declares.alias("source_declares"))
+    return chain_rows(spark, d, "source.variable", "source.code_snippet", "sink.code_snippet").select("row_id", rules.first_match(sink, _SNIPPETS, F.lit("other")).alias("sink_text"), declares.alias("source_declares"))
 
 
 # Type names that hold one of these carry data from outside.
@@ -109,20 +109,20 @@ def chain_signatures(spark, d):
     """Chains that need be verified once: equal endpoints and paths have one signature; counted before the shuffle."""
     parts = [F.col(f"{e}.{p}").cast("string") for e in ("source", "sink") for p in ("variable", "file", "line")]
     signature = F.sha2(F.concat_ws("\0", *parts, F.array_join("path", "\0")), 256)
-    return chain_rows(spark, d).groupBy(signature.alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
+    return chain_rows(spark, d, "path", *[f"{e}.{p}" for e in ("source", "sink") for p in ("variable", "file", "line")]).groupBy(signature.alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"))
 
 
 @query(f"SELECT files, count(*) AS chains, min(row_id) AS first_row FROM (SELECT row_id, array_to_string(list_sort(list_distinct(list_filter([source.file, sink.file], lambda x: x IS NOT NULL))), '|') AS files FROM {_CHAINS}) GROUP BY files")
 def file_groups(spark, d):
     """Chains by the sorted set of the files that they touch."""
     touched = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array("source.file", "sink.file")))), "|")
-    return chain_rows(spark, d).groupBy(touched.alias("files")).agg(F.count(F.lit(1)).alias("chains"), F.min("row_id").alias("first_row"))
+    return chain_rows(spark, d, "source.file", "sink.file").groupBy(touched.alias("files")).agg(F.count(F.lit(1)).alias("chains"), F.min("row_id").alias("first_row"))
 
 
 @query(f"SELECT backend, count(*) AS n, count(*) FILTER (WHERE section = 'tp_matched') AS verified, count(*) FILTER (WHERE section = 'fp_chains') AS refuted, count(*) FILTER (WHERE section = 'unclassified_chains') AS open, round(count(*) FILTER (WHERE section = 'tp_matched') / count(*), 4) AS verified_rate, round(avg({_UNIT}), 6) AS mean_confidence FROM {_CHAINS} GROUP BY backend")
 def verification_summary(spark, d):
     is_in = lambda s: F.count_if(F.col("section") == s)
-    rows = chain_rows(spark, d).groupBy("backend")
+    rows = chain_rows(spark, d, "backend", "section", "confidence").groupBy("backend")
     return rows.agg(F.count(F.lit(1)).alias("n"), is_in("tp_matched").alias("verified"), is_in("fp_chains").alias("refuted"), is_in("unclassified_chains").alias("open"), F.round(is_in("tp_matched") / F.count(F.lit(1)), 4).alias("verified_rate"), F.round(F.avg(rules.unit_confidence(F.col("confidence"))), 6).alias("mean_confidence"))
 
 
@@ -135,7 +135,7 @@ _FACTS = {
 @query(" UNION ALL ".join(f"SELECT backend, {quoted(k)} AS problem, count(*) FILTER (WHERE {c}) AS n FROM {_CHAINS} GROUP BY backend" for k, c in _FACTS.items()))
 def data_quality(spark, d):
     """How many chains of each backend have each problem, in one pass."""
-    counts = chain_rows(spark, d).groupBy("backend").agg(*[F.expr(f"count_if({c})").alias(k) for k, c in _FACTS.items()])
+    counts = chain_rows(spark, d, "backend", "confidence", "cwe", "vulnerability_label", "path", "source.line", "sink.line").groupBy("backend").agg(*[F.expr(f"count_if({c})").alias(k) for k, c in _FACTS.items()])
     return counts.unpivot(["backend"], list(_FACTS), "problem", "n")
 
 
@@ -149,7 +149,7 @@ def case_attribution(spark, d):
     """The labelled case to which a chain belongs by the stems of its files; chains of several cases break isolation."""
     stem = lambda c: F.regexp_extract(c, _STEM, 1)
     cases = table(spark, d, "tp_labels").where("file is not null").select(stem("file").alias("stem")).distinct()
-    chains = chain_rows(spark, d).select("row_id", F.array_distinct(F.transform(F.array("file", "source.file", "sink.file"), stem)).alias("stems"))
+    chains = chain_rows(spark, d, "file", "source.file", "sink.file").select("row_id", F.array_distinct(F.transform(F.array("file", "source.file", "sink.file"), stem)).alias("stems"))
     met = chains.select("row_id", F.explode("stems").alias("stem")).join(cases, "stem").groupBy("row_id").agg(F.count(F.lit(1)).alias("cases"), F.min("stem").alias("case_id"))
     both = chains.select("row_id").join(met, "row_id", "left")
     status = F.when(F.col("cases").isNull(), "orphan").when(F.col("cases") > 1, "several").otherwise("attributed")
@@ -178,7 +178,7 @@ _ENDS = "list_transform(range(1, len(string_split(lower({0}), '/')) + 1), lambda
 SELECT reported, count(DISTINCT known) AS candidates, CASE WHEN count(DISTINCT known) = 1 THEN min(known) END AS known FROM r JOIN k ON lower(reported) = suffix GROUP BY reported""")
 def unique_suffix_route(spark, d):
     """Each reported path with the one path of an endpoint that ends with it; several leave it open."""
-    known = table(spark, d, "chains").select(F.col("source.file").alias("known")).where("known is not null and not contains(known, '\\\\') and not contains(known, '//')").distinct()
+    known = table(spark, d, "chains").select(F.col("source.file").alias("known")).where("known is not null").distinct()
     ends = known.select("known", F.explode(matching.path_suffixes(F.col("known"))).alias("suffix"))
     reported = table(spark, d, "chains").select(F.col("file").alias("reported")).where("reported is not null").distinct()
     met = reported.join(ends, F.lower("reported") == F.col("suffix")).groupBy("reported").agg(F.count(F.lit(1)).alias("candidates"), F.min("known").alias("known"))
@@ -200,7 +200,7 @@ def sharded_cache(spark, d):
 @query(f"SELECT row_id, backend, source.file AS source_file, sink.line AS sink_line, coalesce(len(path), 0) AS nodes FROM {_CHAINS}")
 def result_json(spark, d):
     """Chains as nested JSON lines, written and read back with their schema."""
-    rows: DataFrame = chain_rows(spark, d).select("row_id", "backend", "source", "sink", "path")
+    rows: DataFrame = chain_rows(spark, d, "backend", "source", "sink", "path").select("row_id", "backend", "source", "sink", "path")
     folder = scratch(spark, "result_json")
     files.write_json(rows, folder)
     return files.read_json(spark, folder, rows.schema).select("row_id", "backend", F.col("source.file").alias("source_file"), F.col("sink.line").alias("sink_line"), F.coalesce(F.array_size("path"), F.lit(0)).alias("nodes"))
