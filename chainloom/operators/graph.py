@@ -29,7 +29,10 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
     """(start, node, hops): the fewest hops from each start (node) to each node within the bound."""
-    steps = cut(simple_edges(edges))
+    return _hops(cut(simple_edges(edges)), starts, bound)
+
+
+def _hops(steps: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
     frontier = starts.where("node is not null").select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
     seen = frontier = cut(frontier)
     for depth in range(1, bound + 1):
@@ -43,7 +46,10 @@ def hops(edges: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
     """(node): all nodes that any start reaches within the bound."""
-    steps = cut(simple_edges(edges))
+    return _reachable(cut(simple_edges(edges)), starts, bound)
+
+
+def _reachable(steps: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
     seen = frontier = cut(starts.where("node is not null").select("node").distinct())
     for _ in range(bound):
         met = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
@@ -60,7 +66,16 @@ def turned(edges: DataFrame) -> DataFrame:
 
 def taint_slice(edges: DataFrame, sources: DataFrame, sinks: DataFrame, bound: int) -> DataFrame:
     """(node): nodes within the bound from a source and, backwards, from a sink."""
-    return reachable(edges, sources, bound).join(reachable(turned(edges), sinks, bound), "node", "left_semi")
+    steps = cut(simple_edges(edges))
+    return _reachable(steps, sources, bound).join(_reachable(turned(steps), sinks, bound), "node", "left_semi")
+
+
+def _on_paths(steps: DataFrame, sources: DataFrame, sinks: DataFrame, bound: int) -> DataFrame:
+    """(node): all that a path of at most bound hops from a source to a sink can run through, of simple edges that are
+    written already. The way back only walks what the way forth has met, as such a path does."""
+    forth = cut(_reachable(steps, sources, bound))
+    inner = cut(known_edges(steps, forth))
+    return forth.join(_reachable(turned(inner), sinks, bound), "node", "left_semi")
 
 
 def reachable_pairs(edges: DataFrame, sources: DataFrame, sinks: DataFrame, bound: int) -> DataFrame:
@@ -68,8 +83,9 @@ def reachable_pairs(edges: DataFrame, sources: DataFrame, sinks: DataFrame, boun
 
     The graph is first reduced to the slice, outside of which no such path runs.
     """
-    inner = known_edges(simple_edges(edges), cut(taint_slice(edges, sources, sinks, bound)))
-    found = hops(inner, sources, bound).join(sinks.select("node").distinct(), "node", "left_semi")
+    steps = cut(simple_edges(edges))
+    inner = cut(known_edges(steps, cut(_on_paths(steps, sources, sinks, bound))))
+    found = _hops(inner, sources, bound).join(sinks.select("node").distinct(), "node", "left_semi")
     return found.select(F.col("start").alias("source"), F.col("node").alias("sink"), "hops")
 
 
@@ -77,7 +93,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, bound
     """(source, sink, path): for each source the shortest path of at most bound hops to each sink that it reaches, of
     equally short ones the least by its nodes. Only the slice is walked, and one path is kept for each (source, node),
     so no set of paths grows."""
-    steps = cut(known_edges(simple_edges(edges), cut(taint_slice(edges, sources, sinks, bound))))
+    steps = cut(simple_edges(edges))
+    steps = cut(known_edges(steps, cut(_on_paths(steps, sources, sinks, bound))))
     frontier = sources.where("node is not null").select("node").distinct().select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
     seen = frontier = cut(frontier)
     for _ in range(bound):

@@ -171,10 +171,11 @@ def cve_scores(spark, d):
     return each.groupBy("report").agg(F.count_if(known).alias("scored"), F.count_if(hit).alias("hits"), rules.ratio(F.count_if(hit), F.count_if(known)).alias("recall"), F.count_if(~known).alias("unscored"))
 
 
-_ENDS = "list_transform(range(1, len(string_split(lower({0}), '/')) + 1), lambda i: array_to_string(list_slice(string_split(lower({0}), '/'), i, len(string_split(lower({0}), '/'))), '/'))"
+_STEPS = "string_split(regexp_replace(replace(lower({0}), chr(92), '/'), '/+', '/', 'g'), '/')"
+_ENDS = f"list_transform(range(1, len({_STEPS}) + 1), lambda i: array_to_string(list_slice({_STEPS}, i, len({_STEPS})), '/'))"
 
 
-@query(f"""WITH k AS (SELECT known, unnest({_ENDS.format('known')}) AS suffix FROM (SELECT DISTINCT source.file AS known FROM chains WHERE source.file IS NOT NULL AND NOT contains(source.file, chr(92)) AND NOT contains(source.file, '//'))), r AS (SELECT DISTINCT file AS reported FROM chains WHERE file IS NOT NULL)
+@query(f"""WITH k AS (SELECT known, unnest({_ENDS.format('known')}) AS suffix FROM (SELECT DISTINCT source.file AS known FROM chains WHERE source.file IS NOT NULL)), r AS (SELECT DISTINCT file AS reported FROM chains WHERE file IS NOT NULL)
 SELECT reported, count(DISTINCT known) AS candidates, CASE WHEN count(DISTINCT known) = 1 THEN min(known) END AS known FROM r JOIN k ON lower(reported) = suffix GROUP BY reported""")
 def unique_suffix_route(spark, d):
     """Each reported path with the one path of an endpoint that ends with it; several leave it open."""
