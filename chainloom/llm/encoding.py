@@ -1,7 +1,7 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer by merge replay.
 
-Texts are split into words by Spark's own regular expressions. A task takes the words of its part of the corpus
-together: an inverted index leads from each pair of neighbouring tokens to all positions in all words where it stands,
+Texts are split into words by Spark's own regular expressions. A task takes the different words of a batch that it has
+not met before together: an inverted index leads from each pair of neighbouring tokens to all positions in all words where it stands,
 and the merges are applied in rank order, each to all its positions at once, after which only the touched neighbours
 are entered anew. A word that the task has seen before keeps its ids, so frequent words cost one lookup. Words are
 independent of each other, so parts of the corpus can be replayed apart without changing any result, and nothing is
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,11 @@ REMEMBERED = 1_000_000
 class Merges:
     """The vocabulary: ids of single bytes, and for each pair of tokens its rank and the token that it becomes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str | None = None, arrays: dict | None = None) -> None:
+        """Read from the file of a tokenizer, or taken from the arrays of another one."""
+        if arrays is not None:
+            self.__dict__.update(arrays)
+            return
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         vocab = model["vocab"]
@@ -113,15 +118,15 @@ def replay(words: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
 class Memory:
     """Ids of the words that a task has met."""
 
-    def __init__(self, path: str, merges: Merges | None = None) -> None:
-        self.path, self.merges, self.number = path, merges or Merges(path), {}
+    def __init__(self, merges: Merges) -> None:
+        self.merges, self.number = merges, {}
         self.ids, self.start, self.length = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.total = 0
 
     def lookup(self, words: list[str]) -> np.ndarray:
         """A number for each word; the unknown ones are replayed together."""
         if len(self.number) > REMEMBERED:
-            self.__init__(self.path, self.merges)
+            self.__init__(self.merges)
         new = [w for w in words if w not in self.number]
         if new:
             ids, lengths = replay([w.encode() for w in new], self.merges)
@@ -134,9 +139,9 @@ class Memory:
         return np.array([self.number[w] for w in words], dtype=np.int64)
 
 
-def _encoder(path: str, counts: bool):
+def _encoder(vocabulary: Broadcast, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(path)
+        memory = Memory(Merges(arrays=vocabulary.value))
         for batch in batches:
             *kept, lists = batch.columns
             flat, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
@@ -164,7 +169,9 @@ def _run(df: DataFrame, keep: tuple[str, ...], text: str, path: str, counts: boo
     kept = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     words = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], _words(F.col(text)).alias("words"))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema), f"out {'long' if counts else 'array<int>'}"])
-    return words.mapInArrow(_encoder(path, counts), schema).toDF(*keep, name)
+    # The file is read on the driver only; its arrays, some megabytes whatever the corpus, are sent to the machines once.
+    vocabulary = df.sparkSession.sparkContext.broadcast(vars(Merges(path)))
+    return words.mapInArrow(_encoder(vocabulary, counts), schema).toDF(*keep, name)
 
 
 def encode(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:

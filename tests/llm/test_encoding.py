@@ -31,7 +31,7 @@ def test_texts(spark):
 def test_empty_table_and_forgetting(spark, monkeypatch):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encoding.encode(df, "doc_id", "text").count() == 0
-    memory = encoding.Memory(PATH)
+    memory = encoding.Memory(encoding.Merges(PATH))
     monkeypatch.setattr(encoding, "REMEMBERED", 1)
     for words in (["ab", "cd"], ["ef"], ["ab"]):
         at = memory.lookup(words)
