@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions import rules
 from chainloom.operators import graph, matching, ordering, source_text
+from chainloom.sources import files
 from chainloom.sources.tables import table
 from chainloom.streaming import incremental
 
@@ -369,8 +370,8 @@ def chain_rollup(spark, d):
     return chain_rows(spark, d, "project", "backend", "section", "file", "confidence").rollup("project", "backend", "section").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"), F.round(F.avg(c), 6).alias("mean_confidence"))
 
 
-_TEST = r"(?:^|/)(?:test|tests|testing|it|integration-test)/|(?:Test|Tests|IT|TestCase)\.java$"
-_SKIP = r"(?:^|/)(?:build|target|out|dist|node_modules|\.git|generated)/"
+_TEST = "(?i:(?:^|/)(?:" + "|".join(files.TEST_FOLDERS).replace("-", "[-_]") + ")/)|" + files.TEST_NAME
+_SKIP = "(?:^|/)(?:" + "|".join(files.SKIPPED_FOLDERS).replace(".", r"\.") + ")/"
 
 
 @query(f"SELECT file, count(*) AS chains FROM {_CHAINS} WHERE file IS NOT NULL AND NOT regexp_matches(file, {quoted(_TEST)}) AND NOT regexp_matches(file, {quoted(_SKIP)}) GROUP BY file")

@@ -29,3 +29,11 @@ def test_json_keeps_nulls_and_nesting(spark, tmp_path):
     files.write_json(df, str(tmp_path / "out"))
     files.write_json(df, str(tmp_path / "out"))
     assert sorted(files.read_json(spark, str(tmp_path / "out"), df.schema).collect()) == sorted(df.collect())
+
+
+def test_project_sources(spark):
+    paths = ["/r/test/src/A.java", "/r/test/src/it_test/B.java", "/r/test/x/Integration_Tests/C.java", "/r/test/x/OrderTest.java", "/r/test/x/Contest.java", "/r/test/target/D.java"]
+    df = spark.createDataFrame([(p, "x") for p in paths], "file string, text string")
+    names = lambda rows: sorted(r.file.rpartition("/")[2] for r in rows.collect())
+    assert names(files.project_sources(df, "/r/test")) == ["A.java", "B.java", "Contest.java"]
+    assert names(files.project_sources(df, "/r/test/", include_tests=True)) == ["A.java", "B.java", "C.java", "Contest.java", "OrderTest.java"]
