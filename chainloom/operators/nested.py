@@ -220,9 +220,10 @@ def _column(kinds: set[str]) -> str:
     return "boolean" if own == {"boolean"} else "long" if own == {"integer"} else "double" if own and own <= {"integer", "number"} else "string"
 
 
-def flat_table(rows: DataFrame, shapes: Shapes, wrappers: tuple[str, ...], *paths: str) -> DataFrame:
+def flat_table(rows: DataFrame, shapes: Shapes, wrappers: tuple[str, ...], *paths: str, reserved: tuple[str, ...] = ()) -> DataFrame:
     """rows of the levels with the given paths, with a column for each scalar member that any of them has; value holds
-    elements that are scalars themselves. Names of members below objects are joined by two underscores."""
+    elements that are scalars themselves. Names of members below objects are joined by two underscores; a member with the
+    name of another column or a reserved one begins with own__."""
     scalars = {"boolean", "integer", "number", "string"}
     found: dict[tuple[str, ...], dict[str, set[str]]] = {}
     for path, kinds in shapes.items():
@@ -231,9 +232,10 @@ def flat_table(rows: DataFrame, shapes: Shapes, wrappers: tuple[str, ...], *path
         rest = bare[len(level) + 1 :] if level else "[]"
         if kinds & scalars and "[]" not in rest:
             found.setdefault(tuple(rest.split(".")) if rest else (), {}).setdefault(_way(path, wrappers), set()).update(kinds & scalars)
-    columns = []
+    columns, taken = [], {*rows.columns, *reserved} - {"value"}
     for steps, ways in sorted(found.items()):
         kind = _column(set().union(*ways.values()))
         text = scalar(_member(F.col("value"), max(ways), "" in ways, steps))
-        columns.append((text if kind == "string" else text.try_cast(kind)).alias("__".join(steps) or "value"))
+        name = "__".join(steps) or "value"
+        columns.append((text if kind == "string" else text.try_cast(kind)).alias(f"own__{name}" if name in taken else name))
     return rows.where(F.col("level").isin(*paths)).select(*[c for c in rows.columns if c != "value"], *columns)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chainloom.operators import copy_diff, schema_drift
 from chainloom.plans import reports
+from chainloom.plans.catalog import quoted
 from chainloom.sources.tables import table
 
 EVAL_FIELDS = (
@@ -88,7 +89,7 @@ _TEXT = "ltrim(replace(body, chr(65279), ''))"
 _LIST = "CASE WHEN json_type(({0})) = 'ARRAY' THEN ({0}) WHEN ({0}) IS NULL OR json_type(({0})) = 'NULL' THEN '[]'::JSON ELSE json_array(({0})) END"
 _ENTRIES = f"""WITH once AS (SELECT report_id, max(body) AS body FROM hybrid_reports GROUP BY report_id),
 parsed AS (SELECT report_id, CASE WHEN {_TEXT} LIKE '"%' THEN json_extract_string({_TEXT}::JSON, '$')::JSON ELSE {_TEXT}::JSON END AS report FROM once WHERE json_valid({_TEXT})),
-files AS (SELECT report_id, CASE WHEN json_type(report, '$.files') = 'ARRAY' THEN e.value->>'$.file' ELSE e.key END AS file, e.value AS record FROM parsed, json_each(report, '$.files') e),
+files AS (SELECT report_id, CASE WHEN json_type(report, '$.files') = 'ARRAY' THEN e.value->>'$.file' ELSE e.key END AS file, CASE WHEN json_type(report, '$.files') = 'ARRAY' THEN e.key::BIGINT ELSE row_number() OVER (PARTITION BY report_id ORDER BY e.key) - 1 END AS file_no, e.value AS record FROM parsed, json_each(report, '$.files') e),
 sections AS (SELECT report_id, file, section, record->section AS list FROM files, (SELECT unnest(['tp_matched', 'fp_chains', 'unclassified_chains']) AS section)),
 entries AS (SELECT report_id, file, section, (n - 1)::INT AS entry_no, list[n] AS entry FROM (SELECT *, unnest(range(1, len(list) + 1)) AS n FROM (SELECT report_id, file, section, ({_LIST.format("list")})::JSON[] AS list FROM sections))),
 chains AS (SELECT *, CASE WHEN json_type(entry, '$.chain') = 'OBJECT' THEN entry->'$.chain' ELSE entry END AS chain FROM entries)"""
@@ -98,4 +99,20 @@ UNION ALL SELECT report_id, file, section, entry_no, 'tp_id', [json_extract_stri
 UNION ALL SELECT report_id, file, section, entry_no, 'fp_reason', list_transform(({_LIST.format("entry->'$.fp_pattern'")})::JSON[], lambda x: json_extract_string(x, '$.reason')) FROM chains)
 SELECT report_id, file, section, entry_no, item, (n - 1)::INT AS item_no, vals[n] AS item_value FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS n FROM items) WHERE vals[n] <> ''"""
 
-SQL = {"p5_found": _p5_sql(False), "p5_diff": _p5_sql(True), "p6_found": _P6}
+_SECTION = """(SELECT report_id, file, file_no, section, (n - 1)::INT AS entry_no, concat(report_id, '/files.', file_no) AS file_key, concat(report_id, '/files.', file_no, '/', section, '.', n - 1) AS entry_key, list[n] AS entry FROM (SELECT *, unnest(range(1, len(list) + 1)) AS n FROM (SELECT report_id, file, file_no, section, ({list})::JSON[] AS list FROM (SELECT report_id, file, file_no, section, record->section AS list FROM files, (SELECT unnest([{sections}]) AS section)))))"""
+_THREE = _SECTION.format(list=_LIST.format("list"), sections="'tp_matched', 'fp_chains', 'unclassified_chains'")
+_CHAIN = "CASE WHEN json_type(entry, '$.chain') = 'OBJECT' THEN entry->'$.chain' ELSE entry END"
+_TEXT_OF = lambda v, *names: ", ".join(f"json_extract_string({v}, '$.{n}') AS {a}" for a, n in names)
+
+
+def _below(part: str, step: str, number: str, columns: str) -> str:
+    """A row for each element of a member of the entries, with the keys of its parents."""
+    return f"SELECT report_id, file, section, entry_no, concat(entry_key, '/{step}.', n - 1) AS row_key, entry_key AS parent_key, (n - 1)::INT AS {number}, {columns} FROM (SELECT *, list[n] AS v FROM (SELECT *, unnest(range(1, len(list) + 1)) AS n FROM (SELECT *, ({_LIST.format(part)})::JSON[] AS list FROM {_THREE})))"
+
+
+_P6_NODES = f"{_ENTRIES} " + _below(f"({_CHAIN})->'$.path'", "path", "node_no", "CASE WHEN json_type(v) = 'OBJECT' THEN json_extract_string(v, '$.variable') ELSE json_extract_string(v, '$') END AS variable, json_extract_string(v, '$.file') AS own__file, json_extract_string(v, '$.line')::BIGINT AS line")
+_P6_PATTERNS = f"{_ENTRIES} " + _below("entry->'$.fp_pattern'", "fp_pattern", "pattern_no", _TEXT_OF("v", ("reason", "reason"), ("sink_var", "sink_var"), ("source_pattern", "source_pattern")))
+_P6_LABELS = f"{_ENTRIES} SELECT report_id, file, entry_no, entry_key AS row_key, file_key AS parent_key, {_TEXT_OF('entry', ('id', 'id'), ('sink_var', 'sink_var'), ('source_var', 'source_var'), ('vuln_type', 'vuln_type'))}, json_extract_string(entry, '$.sink_line')::BIGINT AS sink_line, json_extract_string(entry, '$.source_line')::BIGINT AS source_line FROM {_SECTION.format(list=_LIST.format('list'), sections=quoted('fn_chains'))}"
+_P6_FILES = f"{_ENTRIES} SELECT report_id, file, file_no::INT AS file_no, concat(report_id, '/files.', file_no) AS row_key, {_TEXT_OF('record', ('cve', 'cve'), ('error', 'error'))}, " + ", ".join(f"json_extract_string(record, '$.pipeline_metrics.{m}')::BIGINT AS pipeline_metrics__{m}" for m in ("graph_nodes", "sinks_found", "sources_found")) + " FROM files"
+
+SQL = {"p6_path_nodes": _P6_NODES, "p6_fp_patterns": _P6_PATTERNS, "p6_labels": _P6_LABELS, "p6_files": _P6_FILES, "p5_found": _p5_sql(False), "p5_diff": _p5_sql(True), "p6_found": _P6}

@@ -49,12 +49,12 @@ def _named(rows: DataFrame) -> DataFrame:
 
 def _table(raw: DataFrame, *paths: str) -> DataFrame:
     shapes = _shapes(raw)
-    return _named(nested.flat_table(shredded(raw, shapes, paths.__contains__), shapes, WRAPPERS, *paths))
+    return _named(nested.flat_table(shredded(raw, shapes, paths.__contains__), shapes, WRAPPERS, *paths, reserved=(*_KEYS, "file_no", "node_no", "pattern_no")))
 
 
 def files(raw: DataFrame) -> DataFrame:
     """Files of reports, with their own scalar members and those of their metrics."""
-    return _table(raw, "files[]").drop("section", "entry_no").withColumn("file_no", F.col("ordinals")[0]).drop("ordinals", "parent_key")
+    return _table(raw, "files[]").drop("section", "entry_no", "own__file").withColumn("file_no", F.col("ordinals")[0]).drop("ordinals", "parent_key")
 
 
 def chains(raw: DataFrame) -> DataFrame:

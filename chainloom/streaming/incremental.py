@@ -1,4 +1,4 @@
-"""Streaming over folders of Parquet files: windowed counts with a watermark, and a rolling snapshot of findings."""
+"""Streaming over folders of Parquet files: windowed counts with a watermark, run to their end and read back."""
 
 from pathlib import PurePosixPath
 
