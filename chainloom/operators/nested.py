@@ -222,12 +222,16 @@ def _column(kinds: set[str]) -> str:
 
 def flat_table(rows: DataFrame, shapes: Shapes, wrappers: tuple[str, ...], *paths: str, reserved: tuple[str, ...] = ()) -> DataFrame:
     """rows of the levels with the given paths, with a column for each scalar member that any of them has; value holds
-    elements that are scalars themselves. Names of members below objects are joined by two underscores; a member with the
+    elements that are scalars themselves. What is a level of its own is no member, also where a record has a single value
+    there. Names of members below objects are joined by two underscores; a member with the
     name of another column or a reserved one begins with own__."""
     scalars = {"boolean", "integer", "number", "string"}
     found: dict[tuple[str, ...], dict[str, set[str]]] = {}
+    tables = [t.path[:-2] for t in levels(shapes, wrappers)]
     for path, kinds in shapes.items():
         bare = _bare(path, wrappers)
+        if any(bare == t or bare.startswith(f"{t}.") for t in tables):
+            continue
         level = next((p for p in paths if bare == p or bare.startswith(f"{p}.")), None)
         rest = bare[len(level) + 1 :] if level else "[]"
         if kinds & scalars and "[]" not in rest:

@@ -115,4 +115,9 @@ _P6_PATTERNS = f"{_ENTRIES} " + _below("entry->'$.fp_pattern'", "fp_pattern", "p
 _P6_LABELS = f"{_ENTRIES} SELECT report_id, file, entry_no, entry_key AS row_key, file_key AS parent_key, {_TEXT_OF('entry', ('id', 'id'), ('sink_var', 'sink_var'), ('source_var', 'source_var'), ('vuln_type', 'vuln_type'))}, json_extract_string(entry, '$.sink_line')::BIGINT AS sink_line, json_extract_string(entry, '$.source_line')::BIGINT AS source_line FROM {_SECTION.format(list=_LIST.format('list'), sections=quoted('fn_chains'))}"
 _P6_FILES = f"{_ENTRIES} SELECT report_id, file, file_no::INT AS file_no, concat(report_id, '/files.', file_no) AS row_key, {_TEXT_OF('record', ('cve', 'cve'), ('error', 'error'))}, " + ", ".join(f"json_extract_string(record, '$.pipeline_metrics.{m}')::BIGINT AS pipeline_metrics__{m}" for m in ("graph_nodes", "sinks_found", "sources_found")) + " FROM files"
 
-SQL = {"p6_path_nodes": _P6_NODES, "p6_fp_patterns": _P6_PATTERNS, "p6_labels": _P6_LABELS, "p6_files": _P6_FILES, "p5_found": _p5_sql(False), "p5_diff": _p5_sql(True), "p6_found": _P6}
+_P6_CHAINS = (
+    f"{_ENTRIES} SELECT report_id, file, section, entry_no, entry_key AS row_key, file_key AS parent_key, {_TEXT_OF('chain', ('id', 'id'), ('type', 'type'), ('cwe', 'cwe'), *[(f'{e}__{m}', f'{e}.{m}') for e, m in (('sink', 'code_snippet'), ('sink', 'file'), ('sink', 'variable'), ('source', 'file'), ('source', 'variable'))])}, "
+    f"{_TEXT_OF('entry', *[(f'tp__{m}', f'tp.{m}') for m in ('id', 'sink_var', 'source_var')])}, json_extract_string(chain, '$.sink.line')::BIGINT AS sink__line, json_extract_string(chain, '$.source.line')::BIGINT AS source__line, json_extract_string(entry, '$.tp.sink_line')::BIGINT AS tp__sink_line FROM (SELECT *, {_CHAIN} AS chain FROM {_THREE})"
+)
+
+SQL = {"p6_chains": _P6_CHAINS, "p6_path_nodes": _P6_NODES, "p6_fp_patterns": _P6_PATTERNS, "p6_labels": _P6_LABELS, "p6_files": _P6_FILES, "p5_found": _p5_sql(False), "p5_diff": _p5_sql(True), "p6_found": _P6}
