@@ -15,8 +15,8 @@ records; only the schemas, whose size is the number of fields of two files, are
 
 Defined results: unreadable bodies (also null, empty and JSON that is no object) are left out; a repeated record
 changes nothing; a null value doesn't make a field present; an empty array or object is entered as its type says; of
-files with equal times the smaller id comes first; a name that was given away and comes back is a field of its own,
-with AGAIN behind its name; of two values of one field in one record the smaller text counts; a series of one file and
+files with equal times the smaller id comes first; a name that was given away and comes back beside the field that
+bears its column now has a column of its own, with AGAIN behind its name; of two values of one field in one record the smaller text counts; a series of one file and
 an empty table give no changes; extra columns are ignored.
 """
 
@@ -35,7 +35,7 @@ from chainloom.operators.ordering import running_sum
 
 #: Change of the scores below which they have settled, and the least score of a selected pair by the best of either field.
 SETTLED, RELATIVE = 1e-3, 0.5
-#: Ends the name of a field whose name was another field's before.
+#: Ends the name of a field whose name is another field's in the same file.
 AGAIN = "__again"
 _LEAVES = pa.list_(pa.struct([("field", pa.string()), ("type", pa.string()), ("value", pa.string())]))
 
@@ -285,10 +285,10 @@ def canonical_names(flat: DataFrame, changes: DataFrame) -> DataFrame:
     known = rename_roots(events).alias("k")
     # Renames are far fewer than fields of files; at most one span of a field holds a place.
     held = (F.col("r.series") == F.col("k.series")) & (F.col("r.field") == F.col("k.field")) & (F.col("r.place") >= F.col("k.place")) & F.coalesce(F.col("r.place") < F.col("k.until"), F.lit(True))
-    given = events.groupBy("series", F.col("old_field").alias("field")).agg(F.min("place").alias("given_at"))
-    own = rows.join(given, ["series", "field"], "left")
-    again = F.when(F.col("r.place") >= F.col("r.given_at"), F.concat("r.field", F.lit(AGAIN))).otherwise(F.col("r.field"))
-    return own.alias("r").join(known, held, "left").select("r.series", "r.file_id", "r.field", F.coalesce("canonical", again).alias("canonical"))
+    named = rows.alias("r").join(known, held, "left").select("r.series", "r.file_id", "r.field", F.coalesce("canonical", "r.field").alias("canonical"))
+    # Of the fields of one file that go by one name the renamed one keeps it.
+    place = F.row_number().over(Window.partitionBy("series", "file_id", "canonical").orderBy(F.col("field") == F.col("canonical"), "field"))
+    return named.withColumn("place", place).select("series", "file_id", "field", F.when(F.col("place") == 1, F.col("canonical")).otherwise(F.concat("field", F.lit(AGAIN))).alias("canonical"))
 
 
 def column_types(rows: DataFrame) -> dict[str, str]:
