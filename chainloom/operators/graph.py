@@ -60,6 +60,53 @@ def _reachable(steps: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
     return seen
 
 
+def levels(edges: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
+    """(node, hops): the fewest hops from any start to each node within the bound."""
+    return _levels(cut(simple_edges(edges)), starts, bound)
+
+
+def _levels(steps: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
+    frontier = starts.where("node is not null").select("node").distinct().withColumn("hops", F.lit(0))
+    seen = frontier = cut(frontier)
+    for depth in range(1, bound + 1):
+        met = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = cut(met.join(seen, "node", "left_anti").withColumn("hops", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def call_slice(edges: DataFrame, sources: DataFrame, sinks: DataFrame, bound: int) -> DataFrame:
+    """(node, forth, back): nodes within the bound from a source and, backwards, from a sink, with both distances."""
+    steps = cut(simple_edges(edges))
+    forth = _levels(steps, sources, bound).withColumnRenamed("hops", "forth")
+    return forth.join(_levels(turned(steps), sinks, bound).withColumnRenamed("hops", "back"), "node")
+
+
+def cheapest_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, bound: int) -> DataFrame:
+    """(source, sink, cost, path): for each source the path of at most bound hops and least cost to each sink that it
+    reaches, of equal ones the one of fewest nodes, then the least by its nodes. edges have a positive cost; of parallel
+    edges the cheapest counts. Each round relaxes from what the last one bettered, and one path is kept for each
+    (source, node), as the best way of h + 1 hops leads over a best way of h hops."""
+    priced = cut(edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    inner = cut(_on_paths(priced.select("src", "dst"), sources, sinks, bound))
+    steps = cut(priced.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").withColumnRenamed("cost", "step"))
+    own = sources.where("node is not null").select("node").distinct()
+    rank = F.struct("cost", F.size("path").alias("n"), "path").alias("x")
+    best = frontier = cut(own.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("cost"), F.array("node").alias("path")))
+    for _ in range(bound):
+        met = frontier.join(steps, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        met = met.select("start", F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.array_append("path", F.col("dst")).alias("path"), F.lit(True).alias("new"))
+        both = best.withColumn("new", F.lit(False)).unionByName(met).groupBy("start", "node").agg(F.min(rank).alias("x"), F.min_by("new", F.struct("cost", F.size("path"), "path", "new")).alias("new"))
+        both = cut(both.select("start", "node", "x.cost", "x.path", "new"))
+        frontier, best = both.where("new").drop("new"), both.drop("new")
+        if frontier.isEmpty():
+            break
+    found = best.join(sinks.select("node").distinct(), "node", "left_semi").where(F.size("path") > 1)
+    return found.select(F.col("start").alias("source"), F.col("node").alias("sink"), "cost", "path")
+
+
 def turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

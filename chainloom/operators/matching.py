@@ -55,3 +55,23 @@ def overlay(base: DataFrame, update: DataFrame, key: str) -> DataFrame:
 def running_cut(df: DataFrame, group: str, order: list[str], size: str, budget: float) -> DataFrame:
     """Rows of each group in order, as long as the running size stays within the budget."""
     return running_sum(df, group, order, size, "running").where(F.col("running") <= budget)
+
+
+def replace_groups(base: DataFrame, update: DataFrame, key: str) -> DataFrame:
+    """base without the rows whose key update has, and update: what is done again for a file takes the place of all its
+    rows. Rows of a null key stay and are added."""
+    return base.join(update.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*base.columns).unionByName(update.select(*base.columns))
+
+
+def two_tier_suffix(wanted: DataFrame, path: str, known: DataFrame, name: str) -> DataFrame:
+    """(path, name, tier): each distinct path with the known names that end with the whole of it (1) or, where none does,
+    with it without its first segment (2)."""
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[\\/]+", "/"))
+    own = wanted.select(path).where(F.col(path).isNotNull()).distinct()
+    rest = F.regexp_replace(plain(F.col(path)), "^[^/]*/", "")
+    both = F.array(F.struct(F.lit(1).alias("tier"), plain(F.col(path)).alias("suffix")), F.struct(F.lit(2).alias("tier"), F.when(plain(F.col(path)).contains("/"), rest).alias("suffix")))
+    keys = own.select(path, F.explode(both).alias("k")).select(path, "k.*").where("suffix <> ''")
+    ends = known.select(name).where(F.col(name).isNotNull()).distinct().select(name, F.explode(path_suffixes(F.col(name))).alias("suffix")).distinct()
+    met = keys.join(ends, "suffix")
+    best = met.groupBy(path).agg(F.min("tier").alias("tier"))
+    return met.join(best, [path, "tier"]).select(path, name, "tier")
