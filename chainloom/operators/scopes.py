@@ -160,7 +160,7 @@ def terminal_uses(files: DataFrame) -> DataFrame:
     uses = uses.select("file", "variable", "at", "function_name", "k.vuln_type").where("function_name is not null")
     key = ["file", "function_name", "variable"]
     met = set_variables(files).join(uses, key)
-    return met.groupBy(*key, "line_number", "vuln_type").agg(F.min(F.struct(*_nearest("at"))).alias("x")).select(*key, "line_number", "vuln_type", F.element_at(F.array("x.at"), 1).alias("use_line"))
+    return met.groupBy(*key, "line_number", "vuln_type").agg(F.min(F.struct(*_nearest("at"))).alias("x")).select(*key, "line_number", "vuln_type", F.col("x.at").alias("use_line"))
 
 
 def nearest_uses(files: DataFrame) -> DataFrame:
