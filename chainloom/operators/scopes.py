@@ -10,7 +10,7 @@ are facts about a name; of equally near lines the later, then the least; empty t
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainloom.operators.source_text import CALL, NAME, STATEMENT, functions, in_functions, lines, names_in, without_comments
+from chainloom.operators.source_text import KEYWORDS, NAME, STATEMENT, functions, in_functions, lines, names_in, without_comments
 
 # What makes a function worth a look.
 FUNCTION_RELEVANT = (
@@ -48,6 +48,9 @@ OPERATIONS = (
     ("deserialization", "readObject readValue deserialize fromXML"),
     ("xxe", "parse unmarshal transform"),
 )
+# Classes whose making counts as an operation, and for which kinds.
+CONSTRUCTORS, CONSTRUCTED = "ProcessBuilder File FileInputStream FileOutputStream URL URI", ("command_injection", "path_traversal", "ssrf")
+OPERATIONS = tuple((k, f"{names} {CONSTRUCTORS}" if k in CONSTRUCTED else names) for k, names in OPERATIONS)
 #: Lines around a line within which a use counts as near.
 NEAR = 5
 VISIBLE = r"[^ \t\n\r\f\x0b]"
@@ -57,6 +60,8 @@ LOCAL = rf"^\s*(?:final\s+)?(?:[A-Z][A-Za-z0-9_]*|int|long|boolean|double|float|
 CAUGHT = rf"\bcatch\s*\([^()]*?({NAME})\s*\)"
 EACH = rf"\bfor\s*\(\s*(?:final\s+)?[^\s;()]+\s+({NAME})\s*:"
 CHAINED = rf"({NAME})(?:\.{NAME}(?:\([^()]*\))?)*\.({NAME})\("
+# A call with what stands in its parentheses, which may hold calls, and the innermost calls.
+OUTER, INNER = rf"({NAME})\(((?:[^()]|\([^()]*\))*)\)", rf"({NAME})\(([^()]*)\)"
 SET = rf"({NAME})\s*=\s*([^=;][^;]*);"
 
 
@@ -141,8 +146,9 @@ def set_variables(files: DataFrame) -> DataFrame:
 
 def argument_uses(files: DataFrame) -> DataFrame:
     """(file, variable, at, method, function_name): calls that take a variable as an argument."""
-    part = lambda i: F.regexp_extract_all(plain(F.col("line")), F.lit(CALL), F.lit(i))
-    rows = lines(files).select("file", "line_number", F.explode(F.arrays_zip(part(2).alias("method"), part(3).alias("arguments"))).alias("x"))
+    part = lambda p, i: F.regexp_extract_all(plain(F.col("line")), F.lit(p), F.lit(i))
+    calls = F.concat(*[F.arrays_zip(part(p, 1).alias("method"), part(p, 2).alias("arguments")) for p in (OUTER, INNER)])
+    rows = lines(files).select("file", "line_number", F.explode(calls).alias("x")).where(~F.col("x.method").isin(KEYWORDS))
     rows = rows.select("file", "line_number", "x.method", F.explode(names_in(F.col("x.arguments"))).alias("variable")).distinct()
     return in_functions(rows, functions(files)).withColumnRenamed("line_number", "at")
 

@@ -86,7 +86,7 @@ def corpus_value_preserved(spark, d):
 
 
 _SET = f"(SELECT file, variable, function_name, min(line_number) AS line_number FROM {_in_functions(f'(SELECT DISTINCT file, line_number, regexp_extract(line, {quoted(source_text.STATEMENT)}, 1) AS variable FROM {_LINES} WHERE regexp_matches(line, {quoted(source_text.STATEMENT)}))', 'variable')} GROUP BY file, variable, function_name)"
-_TAKEN = f"(SELECT DISTINCT file, line_number, method, unnest({_NAMES('arguments')}) AS variable FROM (SELECT file, line_number, unnest({_ALL('bare', source_text.CALL, 2)}) AS method, unnest({_ALL('bare', source_text.CALL, 3)}) AS arguments FROM {_BARE}))"
+_TAKEN = f"(SELECT DISTINCT file, line_number, method, unnest({_NAMES('arguments')}) AS variable FROM (" + " UNION ALL ".join(f"SELECT file, line_number, unnest({_ALL('bare', p, 1)}) AS method, unnest({_ALL('bare', p, 2)}) AS arguments FROM {_BARE}" for p in (scopes.OUTER, scopes.INNER)) + f") WHERE NOT list_contains([{', '.join(map(quoted, source_text.KEYWORDS))}], method))"
 _USES = f"(SELECT file, variable, line_number AS at, method, function_name FROM {_in_functions(_TAKEN, 'method, variable')})"
 _OPERATIONS = "(SELECT unnest([" + ", ".join(quoted(k) for k, names in scopes.OPERATIONS for _ in names.split()) + "]) AS vuln_type, unnest([" + ", ".join(quoted(n) for _, names in scopes.OPERATIONS for n in names.split()) + "]) AS method)"
 _BEST = "ORDER BY abs(u.at - s.line_number), u.at < s.line_number, u.at"
