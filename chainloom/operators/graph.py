@@ -107,6 +107,25 @@ def cheapest_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, bound
     return found.select(F.col("start").alias("source"), F.col("node").alias("sink"), "cost", "path")
 
 
+def connected(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, sink, reaches) of pairs (source, sink): whether any path, however long, leads there. A start walks on only as
+    long as it has a sink that it hasn't met; null ends are reached by none."""
+    steps = cut(simple_edges(edges))
+    wanted = cut(pairs.select("source", "sink").distinct())
+    left = wanted.where("source is not null and sink is not null")
+    seen = frontier = cut(left.select(F.col("source").alias("start"), F.col("source").alias("node")).distinct())
+    while not frontier.isEmpty():
+        new = frontier.select(F.col("start").alias("source"), F.col("node").alias("sink"))
+        left = cut(left.join(new, ["source", "sink"], "left_anti"))
+        going = frontier.join(left.select(F.col("source").alias("start")).distinct(), "start", "left_semi")
+        reached = going.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        frontier = cut(reached.join(seen, ["start", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    known = F.col("source").isNotNull() & F.col("sink").isNotNull()
+    unmet = left.withColumn("reaches", F.lit(False))
+    return wanted.join(unmet, ["source", "sink"], "left").select("source", "sink", (known & F.col("reaches").isNull()).alias("reaches"))
+
+
 def turned(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

@@ -4,7 +4,8 @@ All of it is regular expressions inside Spark, so it stays in generated code and
 is one row (file, text); results carry the file and, where they stand on a line, line_number from 1.
 
 Defined results: null texts give no rows, an empty text is one empty line; line ends are \\n, a \\r before it belongs to
-the line; rows that repeat give their results again; an empty table gives none.
+the line; rows that repeat give their results again, but equal rows get their function once (in_functions); an empty
+table gives none.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,8 +76,22 @@ SANITIZERS = (
     ("numeric_parse", "sql_injection,command_injection", 0.9, r"(Integer\.parseInt|Long\.parseLong|Double\.parseDouble)\s*\("),
     ("uuid_validation", "sql_injection,command_injection,path_traversal", 0.9, r"UUID\s*\.\s*fromString\s*\("),
 )
-# Words that make a file worth a look.
-RELEVANT = r"getParameter|getHeader|getQueryString|readLine|readObject|executeQuery|executeUpdate|\.exec\(|sendRedirect|ProcessBuilder|\.eval\("
+# What makes a file worth a look.
+RELEVANT = (
+    r"getParameter|getHeader|getCookies|getInputStream|getReader|getQueryString"
+    r"|@RequestParam|@PathVariable|@RequestBody|@RequestHeader|@CookieValue"
+    r"|HttpServletRequest|HttpServletResponse"
+    r"|executeQuery|executeUpdate|prepareStatement|createStatement|execute\("
+    r"|createNativeQuery|createQuery"
+    r"|Runtime\.getRuntime|ProcessBuilder|exec\("
+    r"|setAttribute|getRequestDispatcher|sendRedirect|addCookie|\.write\("
+    r"|innerHTML|document\.write|\.html\("
+    r"|new\s+File\(|new\s+FileInputStream|Paths\.get|Files\."
+    r"|DocumentBuilder|SAXParser|XMLReader|TransformerFactory"
+    r"|URL\(|HttpURLConnection|HttpClient|openConnection"
+    r"|ObjectInputStream|readObject|XMLDecoder"
+    r"|DirContext|InitialDirContext|search\("
+)
 SECRET = r"(?i)\b(password|passwd|secret|token|api_?key)(\s*[=:]\s*)[^\s,;]+"
 
 
@@ -255,3 +270,11 @@ def statement_of(edges: DataFrame, files: DataFrame) -> DataFrame:
 def flow_statements(flows: DataFrame) -> DataFrame:
     """(file, from_var, to_var, line_number, n): the first line of each flow and how often it is found."""
     return flows.groupBy("file", "from_var", "to_var").agg(F.min("line_number").alias("line_number"), F.count(F.lit(1)).alias("n"))
+
+
+def arrow_edges(files: DataFrame) -> DataFrame:
+    """(file, line_number, src, dst): edges written as a -> b, one on a line; blank lines, remarks (#) and lines with more
+    arrows are none."""
+    part = F.transform(F.split("line", "->"), lambda x: F.trim(x, F.lit(" \t\r")))
+    rows = lines(files).where(~F.trim("line").startswith("#")).select("file", "line_number", part.alias("part")).where(F.size("part") == 2)
+    return rows.select("file", "line_number", F.col("part")[0].alias("src"), F.col("part")[1].alias("dst")).where("src <> '' and dst <> ''")

@@ -104,6 +104,24 @@ def corpus_terminal_uses(spark, d):
     return scopes.terminal_uses(corpus(spark, d))
 
 
+_FIRST = f"(SELECT file, variable, line_number, line FROM ({SQL['first_occurrences']}))"
+
+
+@query(f"SELECT * FROM {_in_functions(_FIRST, 'variable, line')}")
+def node_functions(spark, d):
+    """Where each variable of a file stands first, with the function that holds the line."""
+    files = java_files(spark, d)
+    return source_text.in_functions(source_text.first_occurrences(files), source_text.functions(files))
+
+
+@query(f"SELECT file, function_name, variable, min(line_number) AS line_number FROM {_in_functions(f'(SELECT DISTINCT file, line_number, variable FROM {_SOURCES})', 'variable')} GROUP BY ALL")
+def source_dedup_functions(spark, d):
+    """Of the sources of one variable in one function the first."""
+    files = java_files(spark, d)
+    rows = source_text.in_functions(source_text.static_sources(files).select("file", "line_number", "variable").distinct(), source_text.functions(files))
+    return rows.groupBy("file", "function_name", "variable").agg(F.min("line_number").alias("line_number"))
+
+
 _TIER = f"CASE WHEN u.at IS NULL THEN 4 WHEN u.at = s.line_number THEN 0 WHEN abs(u.at - s.line_number) <= {scopes.NEAR} THEN 1 WHEN u.function_name IS NOT DISTINCT FROM s.function_name THEN 2 ELSE 3 END"
 
 

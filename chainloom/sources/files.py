@@ -16,15 +16,17 @@ TEST_NAME = r"(?:Test|Tests|IT|TestCase)\.java$"
 SKIPPED_FOLDERS = ("target", "build", "out", "bin", "dist", "node_modules", "generated-sources", "generated", "generated-test-sources", ".git", ".idea", ".gradle", ".mvn", ".settings", ".svn")
 
 
-def project_sources(read: DataFrame, root: str, include_tests: bool = False) -> DataFrame:
+def project_sources(read: DataFrame, root: str, include_tests: bool = False, most: int = 0) -> DataFrame:
     """Of the files (file, text) below a folder root those that belong to the project: none in a skipped folder, and no
-    tests unless asked for. Only the part of a path below root counts."""
+    tests unless asked for. Only the part of a path below root counts. most is a report of the first files by path; 0
+    takes all."""
     below = F.substring_index(F.col("file"), root.rstrip("/") + "/", -1)
     folders = F.slice(F.split(below, "/"), 1, F.size(F.split(below, "/")) - 1)
     plain = F.transform(folders, lambda x: F.regexp_replace(F.lower(x), "_", "-"))
     test = F.arrays_overlap(plain, F.array(*map(F.lit, TEST_FOLDERS))) | below.rlike(TEST_NAME)
     kept = ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_FOLDERS)))
-    return read.where(kept if include_tests else kept & ~F.coalesce(test, F.lit(False)))
+    own = read.where(kept if include_tests else kept & ~F.coalesce(test, F.lit(False)))
+    return own.orderBy("file").limit(most) if most else own
 
 
 def read_sources(spark: SparkSession, folder: str, glob: str = "*.java") -> DataFrame:

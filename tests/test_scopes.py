@@ -113,3 +113,18 @@ def test_replaced_groups_and_two_tiers(spark):
     known = spark.createDataFrame([("/r/p/x/A.java",), ("/s/x/A.java",), ("/t/y/b.java",), ("/u/C.java",), ("/v/C.java",)], "name string")
     rows = sorted((r.file, r.name, r.tier) for r in matching.two_tier_suffix(wanted, "file", known, "name").collect())
     assert rows == [("C.java", "/u/C.java", 1), ("C.java", "/v/C.java", 1), ("p/x/A.java", "/r/p/x/A.java", 1), ("q\\y\\B.java", "/t/y/b.java", 2)]
+
+
+def test_connected_by_paths_of_any_length(spark):
+    chain = [(f"m{i}", f"m{i + 1}") for i in range(20)] + [("m20", "m0"), ("z", "m3"), (None, "m1")]
+    edges = spark.createDataFrame(chain, "src string, dst string")
+    pairs = spark.createDataFrame([("m0", "m20"), ("m0", "m20"), ("m5", "m4"), ("m0", "z"), ("z", "z"), ("q", "m1"), (None, "m1"), ("m1", None)], "source string, sink string")
+    rows = {(r.source, r.sink): r.reaches for r in graph.connected(edges, pairs).collect()}
+    assert rows == {("m0", "m20"): True, ("m5", "m4"): True, ("m0", "z"): False, ("z", "z"): True, ("q", "m1"): False, (None, "m1"): False, ("m1", None): False}
+    assert graph.connected(edges.limit(0), pairs.limit(0)).count() == 0
+
+
+def test_arrows(spark):
+    text = "# a -> b\n\n a -> b \r\na -> b -> c\n -> d\nc->d"
+    df = spark.createDataFrame([("A", text, 1, ""), ("B", None, 1, "")], SCHEMA)
+    assert [(r.line_number, r.src, r.dst) for r in source_text.arrow_edges(df).collect()] == [(3, "a", "b"), (6, "c", "d")]
