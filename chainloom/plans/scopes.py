@@ -125,12 +125,20 @@ def source_dedup_functions(spark, d):
 _TIER = f"CASE WHEN u.at IS NULL THEN 4 WHEN u.at = s.line_number THEN 0 WHEN abs(u.at - s.line_number) <= {scopes.NEAR} THEN 1 WHEN u.function_name IS NOT DISTINCT FROM s.function_name THEN 2 ELSE 3 END"
 
 
-@query(f"""SELECT file, function_name, variable, line_number, use_line, tier FROM (SELECT s.file, s.function_name, s.variable, s.line_number, coalesce(u.at, s.line_number) AS use_line, {_TIER} AS tier, row_number() OVER (PARTITION BY s.file, s.function_name, s.variable ORDER BY {_TIER}, abs(u.at - s.line_number), u.at < s.line_number, u.at) AS rn
-FROM {_SET} s LEFT JOIN {_USES} u ON s.file = u.file AND s.variable = u.variable) WHERE rn = 1""")
+_NEAREST = f"""SELECT file, function_name, variable, line_number, use_line, tier FROM (SELECT s.file, s.function_name, s.variable, s.line_number, coalesce(u.at, s.line_number) AS use_line, {_TIER} AS tier, row_number() OVER (PARTITION BY s.file, s.function_name, s.variable ORDER BY {_TIER}, abs(u.at - s.line_number), u.at < s.line_number, u.at) AS rn
+FROM {_SET} s LEFT JOIN {_USES} u ON s.file = u.file AND s.variable = u.variable) WHERE rn = 1"""
+
+
+@query(_NEAREST)
 def nearest_uses(spark, d):
     return scopes.nearest_uses(java_files(spark, d))
 
 
+@query(f"WITH {_WITH} {_on_corpus(_NEAREST)}")
+def corpus_nearest_uses(spark, d):
+    return scopes.nearest_uses(corpus(spark, d))
+
+
 # --- calls between files ---------------------------------------------------------------------------------------------
 
 _BRIDGE = f"({_on_corpus(SQL['call_bridges'])})"
