@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from chainloom.functions.lineage import cut
 from chainloom.operators import chains, graph, scopes, source_text
 from chainloom.plans.catalog import QUERIES, SQL, _FUNCTIONS, _LINES, _NAMES, _SINKS, _SOURCES, java_files, query, quoted
-from chainloom.plans.corpus import _BY_FILE, _EDGES, _MADE, _SAN, _WITH, _on_corpus, corpus, corpus_chains
+from chainloom.plans.corpus import _BY_FILE, _EDGES, _MADE, _SAN, _WITH, _on_corpus, corpus
 from chainloom.sources.tables import table
 
 _PLAIN = lambda x: f"""regexp_replace(regexp_replace({x}, '"[^"]*"', '""', 'g'), '//.*$', '')"""
@@ -150,7 +151,7 @@ _BRIDGE_IN = _on_corpus(_in_functions(_BRIDGE, "method, argument, owner, paramet
 SELECT file, line_number, method, argument, owner, parameter, function_name FROM b WHERE function_name IS NULL OR NOT EXISTS (SELECT 1 FROM s WHERE s.file = b.file AND s.variable = b.argument) OR EXISTS (SELECT 1 FROM s WHERE s.file = b.file AND s.variable = b.argument AND s.function_name = b.function_name)""")
 def corpus_guarded_bridges(spark, d):
     """Calls from file to file without those that would borrow a source of another method."""
-    files = corpus(spark, d)
+    files = cut(corpus(spark, d))
     own = source_text.functions(files)
     sources = source_text.in_functions(source_text.static_sources(files).select("file", "line_number", "variable").distinct(), own)
     return scopes.guarded(source_text.in_functions(source_text.call_bridges(files), own), sources)
@@ -163,7 +164,7 @@ _LEVEL = lambda name, start, a, b: f"{name}(node, hops) AS (SELECT DISTINCT file
 SELECT file, forth, back, (forth + back)::INT AS distance FROM (SELECT node AS file, min(hops)::INT AS forth FROM f GROUP BY node) JOIN (SELECT node AS file, min(hops)::INT AS back FROM b GROUP BY node) USING (file)""")
 def corpus_call_slice(spark, d):
     """Files on a way of calls from a file with a source to a file with a sink, with their distance from both."""
-    files = corpus(spark, d)
+    files = cut(corpus(spark, d))
     calls = source_text.owned_calls(files).where("file <> owner").select(F.col("file").alias("src"), F.col("owner").alias("dst"))
     ends = lambda df: df.select(F.col("file").alias("node")).distinct()
     rows = graph.call_slice(calls, ends(source_text.static_sources(files)), ends(source_text.static_sinks(files)), chains.MAX_NODES)
@@ -183,7 +184,7 @@ p(start, node, cost, path) AS (SELECT node, node, 0.0::DOUBLE, [node] FROM so UN
 SELECT source, sink, cost, path FROM (SELECT start AS source, node AS sink, cost, path, row_number() OVER (PARTITION BY start, node ORDER BY cost, len(path), path) AS rn FROM p WHERE len(path) > 1 AND node IN (SELECT node FROM si)) WHERE rn = 1""")
 def corpus_weighted_paths(spark, d):
     """Paths of least cost from sources to sinks, of at most 15 nodes."""
-    files = corpus(spark, d)
+    files = cut(corpus(spark, d))
     flows = source_text.assignments(files).unionByName(source_text.argument_flows(files))
     cost = F.coalesce(*[F.when(F.col("flow_type") == k, c) for k, c in COSTS])
     inside = flows.select(chains.node("file", "from_var").alias("src"), chains.node("file", "to_var").alias("dst"), cost.alias("cost"))
@@ -196,9 +197,9 @@ def corpus_weighted_paths(spark, d):
 SELECT * FROM (SELECT unnest(['sources', 'sinks', 'sanitizers', 'edges', 'chains', 'rejected']) AS metric, unnest([(SELECT count(*) FROM {_on_corpus(_SOURCES)}), (SELECT count(*) FROM {_on_corpus(_SINKS)}), (SELECT count(*) FROM s), (SELECT count(*) FROM e), (SELECT count(*) FROM made), (SELECT count(*) FROM strongest WHERE effectiveness >= {chains.REJECTS})]) AS n)""")
 def corpus_metrics(spark, d):
     """How much each step of the way from text to verified chains makes."""
-    files = corpus(spark, d)
+    files = cut(corpus(spark, d))
     sanitizers = source_text.static_sanitizers(files).join(source_text.lines(files), ["file", "line_number"])
-    made = corpus_chains(spark, d)
+    made = chains.chains_from_source(files)
     verdict = chains.rejected(made, chains.sanitizers_on(made, sanitizers))
     n = lambda df, name, c=F.count(F.lit(1)): df.agg(c.alias("n")).select(F.lit(name).alias("metric"), "n")
     parts = [n(source_text.static_sources(files), "sources"), n(source_text.static_sinks(files), "sinks"), n(sanitizers, "sanitizers"), n(chains.flow_edges(files), "edges"), n(verdict, "chains"), n(verdict, "rejected", F.count_if(F.coalesce(~F.col("verified"), F.lit(False))))]
