@@ -128,3 +128,9 @@ def test_arrows(spark):
     text = "# a -> b\n\n a -> b \r\na -> b -> c\n -> d\nc->d"
     df = spark.createDataFrame([("A", text, 1, ""), ("B", None, 1, "")], SCHEMA)
     assert [(r.line_number, r.src, r.dst) for r in source_text.arrow_edges(df).collect()] == [(3, "a", "b"), (6, "c", "d")]
+
+
+def test_census_of_long_literals(spark):
+    """A literal of any length is code; it was an error from some thousand letters on."""
+    files = spark.createDataFrame([("s", f'a.b("{"x" * 100_000}");'), ("s", f"// {'x' * 100_000}"), ("s", f"c = '{'y' * 100_000}';")], "source string, text string")
+    assert tuple(scopes.census(files, "source").first()) == ("s", 3, 0, 1, 1)
