@@ -11,10 +11,8 @@ that a pair must keep (the same file, for one) drop the others.
 Records of one source that are alike in all fields are one kind, compared once and then dealt out, so a group of copies
 costs no more than one record. Of the pairs that are left, each record may be in one: the choice with the greatest
 total confidence. Pairs of kinds without any rival are taken as they are. The others fall into components, which are
-solved exactly as a transport of records from kinds to kinds, one component in a task. A component has one file and
-alike names; if one has more than LARGE pairs of different kinds, so that a task could not hold it, its pairs are taken
-best first in rounds of joins instead, which gives every record a partner that has a free one but not always the
-greatest total.
+solved exactly as a transport of records from kinds to kinds, whatever their size; one component is never divided. A
+component has one file and alike names, and a task holds its pairs of different kinds as flat arrays.
 
 Defined results: a missing project, file or variable (also by the end of the path) makes no pair; a line that is null
 or 0 is unknown and keeps no pair from being made; records that repeat a key count once; of choices with equal totals
@@ -22,7 +20,9 @@ one is taken by key order; empty tables give no pairs; extra columns are ignored
 """
 
 import heapq
+from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +35,10 @@ from chainloom.operators.ordering import running_sum
 WINDOW, LINES_APART = 20, 8
 #: Weights of the fields in the confidence.
 WEIGHTS = {"project": 0.15, "file": 0.2, "source": 0.2, "sink": 0.2, "sink_line": 0.15, "source_line": 0.1}
-#: Pairs of kinds in a component that is solved in one task, and letters of a name that was cut off that are left at least.
-LARGE, CUT_OFF = 50_000, 0.6
+#: Letters of a name that was cut off that are left at least.
+CUT_OFF = 0.6
+#: Pairs of kinds that are about as many as small components bring into one call together; this changes the cost only.
+LARGE = 50_000
 #: Records of a file that are compared with each other without name keys; this changes the cost only.
 FEW = 64
 FIELDS = ("project", "file", "source", "source_words", "sink", "sink_words", "source_line", "sink_line")
@@ -176,7 +178,7 @@ def candidates(a: DataFrame, b: DataFrame, window: int = WINDOW) -> DataFrame:
     return scored.select("a_id", "b_id", sum(F.col(k) * w for k, w in WEIGHTS.items()).alias("confidence"))
 
 
-def transport(supply: list[int], room: list[int], pairs: list[list[tuple[int, float]]]) -> dict[tuple[int, int], int]:
+def transport(supply: list[int], room: list[int], pairs: Sequence[Iterable[tuple[int, float]]]) -> dict[tuple[int, int], int]:
     """How many records go from each left to each right kind, with the greatest total gain; gains are positive.
 
     pairs lists for each left kind its right kinds with their gains. Shortest augmenting paths by costs that potentials
@@ -245,35 +247,40 @@ def transport(supply: list[int], room: list[int], pairs: list[list[tuple[int, fl
 _FLOW = "a_id long, b_id long, confidence double, n long"
 
 
+class _Gains:
+    """The pairs of left kinds, in the order of their rows, as arrays: some bytes for a pair, where tuples take hundreds."""
+
+    def __init__(self, first, right, gain):
+        self.first, self.right, self.gain = first, right, gain
+
+    def __len__(self):
+        return len(self.first) - 1
+
+    def __getitem__(self, i):
+        own = slice(self.first[i], self.first[i + 1])
+        return zip(self.right[own].tolist(), self.gain[own].tolist())
+
+    def __iter__(self):
+        return (self[i] for i in range(len(self)))
+
+
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    a, b = sorted(pdf.a_id.unique()), sorted(pdf.b_id.unique())
-    at, bt = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-    supply, room, pairs, gain = [0] * len(a), [0] * len(b), [[] for _ in a], {}
-    for r in pdf.sort_values(["a_id", "b_id"]).itertuples(index=False):
-        i, j = at[r.a_id], bt[r.b_id]
-        supply[i], room[j], gain[i, j] = int(r.a_n), int(r.b_n), r.confidence
-        pairs[i].append((j, r.confidence))
-    return pd.DataFrame([(a[i], b[j], gain[i, j], n) for (i, j), n in sorted(transport(supply, room, pairs).items())], columns=["a_id", "b_id", "confidence", "n"])
-
-
-def best_first(pairs: DataFrame) -> DataFrame:
-    """(a_id, b_id, confidence, n): in rounds the pairs that are the best of both their kinds, with as many records as
-    both have left. Equal confidences are told apart by a hash, so the rounds grow with the logarithm of the pairs."""
-    left, taken = cut(pairs.withColumn("order", F.struct("confidence", F.xxhash64("a_id", "b_id").alias("h"), "a_id", "b_id"))), None
-    while not left.isEmpty():
-        top = lambda side: left.groupBy(f"{side}_id").agg(F.max("order").alias("order"))
-        won = cut(left.join(top("a"), ["a_id", "order"], "left_semi").join(top("b"), ["b_id", "order"], "left_semi").select("a_id", "b_id", "confidence", F.least("a_n", "b_n").alias("n")))
-        taken = won if taken is None else cut(taken.unionByName(won))
-        for side in ("a", "b"):
-            left = left.join(won.select(f"{side}_id", F.col("n").alias("used")), f"{side}_id", "left").withColumn(f"{side}_n", F.col(f"{side}_n") - F.coalesce("used", F.lit(0))).drop("used").where(f"{side}_n > 0")
-        left = cut(left)
-    return taken if taken is not None else pairs.select("a_id", "b_id", "confidence", F.lit(0).cast("long").alias("n"))
+    """The flows of whole components. A search never leaves the component that it starts in, so several at once are solved
+    as each alone would be."""
+    pdf = pdf.sort_values(["a_id", "b_id"])
+    a, at, n = np.unique(pdf.a_id.to_numpy(), return_index=True, return_counts=True)
+    b, bt, right = np.unique(pdf.b_id.to_numpy(), return_index=True, return_inverse=True)
+    gain = pdf.confidence.to_numpy()
+    flow = sorted(transport(pdf.a_n.to_numpy()[at].tolist(), pdf.b_n.to_numpy()[bt].tolist(), _Gains(np.append(at, at[-1] + n[-1]), right, gain)).items())
+    at_pair = [at[i] + np.searchsorted(right[at[i] : at[i] + n[i]], j) for (i, j), _ in flow]
+    return pd.DataFrame([(a[i], b[j], gain[k], m) for ((i, j), m), k in zip(flow, at_pair)], columns=["a_id", "b_id", "confidence", "n"])
 
 
 def assign(pairs: DataFrame, large: int = LARGE) -> DataFrame:
     """(a_id, b_id, confidence, n): how many records of kind a_id go with kind b_id, with the greatest total confidence.
 
-    pairs (a_id, a_n, b_id, b_n, confidence) are different pairs of kinds of a_n and b_n records.
+    pairs (a_id, a_n, b_id, b_n, confidence) are different pairs of kinds of a_n and b_n records. Components of fewer than
+    large pairs share calls, about as many pairs in one; results are the same for any.
     """
     pairs = cut(pairs)
     alone = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias(f"{c}_times"))
@@ -285,10 +292,11 @@ def assign(pairs: DataFrame, large: int = LARGE) -> DataFrame:
     # Kinds of both sides in one numbering: even for a, odd for b.
     groups = components(rest.select(F.shiftleft("a_id", 1).alias("src"), (F.shiftleft("b_id", 1) + 1).alias("dst")))
     grouped = rest.join(groups, F.shiftleft("a_id", 1) == F.col("node")).select(F.col("component").alias("group_id"), *pairs.columns)
-    grouped = cut(grouped.join(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")), "group_id"))
-    solved = single.unionByName(grouped.where(F.col("n") <= large).drop("n").groupBy("group_id").applyInPandas(_solve, _FLOW))
-    big = grouped.where(F.col("n") > large).select(*pairs.columns)
-    return solved if big.isEmpty() else solved.unionByName(best_first(big))
+    sizes = cut(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")))
+    calls = sizes.where(F.col("n") < large).agg(F.coalesce(F.ceil(F.sum("n") / large), F.lit(1))).first()[0]
+    call = F.when(F.col("n") < large, F.pmod(F.xxhash64("group_id"), F.lit(max(calls, partitions(pairs.sparkSession)))))
+    called = grouped.join(sizes.select("group_id", call.alias("call"), F.when(F.col("n") >= large, F.col("group_id")).alias("whole")), "group_id")
+    return single.unionByName(called.select(*pairs.columns, "call", "whole").groupBy("call", "whole").applyInPandas(_solve, _FLOW))
 
 
 def kinds(records: DataFrame) -> tuple[DataFrame, DataFrame]:

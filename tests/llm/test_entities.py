@@ -1,6 +1,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from chainloom.llm import entities
@@ -80,3 +81,13 @@ def test_many_ties_end(spark):
 def test_ranks_are_global(spark):
     df = spark.createDataFrame([(i * 7919 % 501,) for i in range(501)], "v int")
     assert [(r.rank, r.v) for r in entities.ranked(df, F.col("v")).orderBy("rank").collect()] == [(i, i) for i in range(501)]
+
+
+def test_size_of_a_component_changes_nothing(spark):
+    """The best pair first would give 0.9 + 0.1; the greatest total is 1.6, in a component of any size."""
+    rows = [(10 * g + a, 1, 10 * g + b, 1, c) for g in range(30) for a, b, c in ((0, 5, 0.9), (0, 6, 0.8), (1, 5, 0.8), (1, 6, 0.1))]
+    rows += [(1000 + a, 1, 2000 + b, 1, 0.5 + (a * b % 7) / 20) for a in range(12) for b in range(12)]
+    df = spark.createDataFrame(rows, "a_id long, a_n long, b_id long, b_n long, confidence double")
+    whole, single, many = (sorted(map(tuple, entities.assign(df, large).where("n > 0").collect())) for large in (10**6, 1, 50))
+    assert whole == single == many
+    assert sum(c * n for a, _, c, n in whole if a < 1000) == pytest.approx(30 * 1.6)
