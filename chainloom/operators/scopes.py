@@ -140,7 +140,7 @@ def preserved(files: DataFrame) -> DataFrame:
 
 def set_variables(files: DataFrame) -> DataFrame:
     """(file, variable, line_number, function_name): where each name is first set in each function."""
-    rows = lines(files).where(F.col("line").rlike(STATEMENT)).select("file", "line_number", F.regexp_extract("line", STATEMENT, 1).alias("variable")).distinct()
+    rows = lines(files).where(F.col("line").contains("=") & F.col("line").rlike(STATEMENT)).select("file", "line_number", F.regexp_extract("line", STATEMENT, 1).alias("variable")).distinct()
     return in_functions(rows, functions(files)).groupBy("file", "variable", "function_name").agg(F.min("line_number").alias("line_number"))
 
 
@@ -148,7 +148,7 @@ def argument_uses(files: DataFrame) -> DataFrame:
     """(file, variable, at, method, function_name): calls that take a variable as an argument."""
     part = lambda p, i: F.regexp_extract_all(plain(F.col("line")), F.lit(p), F.lit(i))
     calls = F.concat(*[F.arrays_zip(part(p, 1).alias("method"), part(p, 2).alias("arguments")) for p in (OUTER, INNER)])
-    rows = lines(files).select("file", "line_number", F.explode(calls).alias("x")).where(~F.col("x.method").isin(KEYWORDS))
+    rows = lines(files).where(F.col("line").contains("(")).select("file", "line_number", F.explode(calls).alias("x")).where(~F.col("x.method").isin(KEYWORDS))
     rows = rows.select("file", "line_number", "x.method", F.explode(names_in(F.col("x.arguments"))).alias("variable")).distinct()
     return in_functions(rows, functions(files)).withColumnRenamed("line_number", "at")
 

@@ -70,3 +70,22 @@ def test_bridges_need_one_owner(spark):
     assert first["name"] == 2 and first["go"] == 1
     edge = spark.createDataFrame([(0, "name", "helper"), (0, "name", "nowhere")], "file int, from_var string, to_var string")
     assert [tuple(r) for r in source_text.statement_of(edge, files(spark, a)).collect()] == [(0, "name", "helper", 2)]
+
+
+def test_functions_meet_lines_by_bands(spark):
+    """Lines are not joined with all functions of their file; the innermost is found over bands' edges too."""
+    scopes = [(1, "whole", 1, 400), (1, "inner", 15, 17), (1, "late", 160, 230), (1, "one", 200, 200), (2, "other", 1, 9)]
+    rows = [(f, n) for f in (1, 2, 3) for n in range(1, 420, 3)]
+    held = source_text.in_functions(spark.createDataFrame(rows, "file int, line_number int"), spark.createDataFrame(scopes, "file int, function_name string, start_line int, end_line int"))
+    want = {(f, n): max(((s, name) for g, name, s, e in scopes if g == f and s <= n <= e), default=(0, None))[1] for f, n in rows}
+    assert {(r.file, r.line_number): r.function_name for r in held.collect()} == want
+    assert "__band" in held._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_letters_of_patterns(spark):
+    assert source_text.letters(r"\.setParameter\s*\(|\.createNamedQuery\s*\(") == ["setParameter", "createNamedQuery"]
+    assert source_text.letters(r"(?i)\.prepareStatement\(") == source_text.letters(r"(Integer|Long)\.x\(") == source_text.letters(r"abcd?|[xyz]{4}") == []
+    said = ["x.normalize ( )", "normal", "@Valid x", "Validator . validate (x)", "new  ProcessBuilder(List.of", "x.replace(\"../\", \"\")", "a.PREPAREstatement(", "jdbcTemplate.queryForList(a, b,"]
+    df = spark.createDataFrame([(x,) for x in said], "line string")
+    for *_, p in source_text.SANITIZERS:
+        assert df.where(source_text.has(F.col("line"), p)).count() == df.where(F.col("line").rlike(p)).count()
