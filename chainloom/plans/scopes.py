@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chainloom.functions.lineage import cut
+from chainloom.functions.lineage import cut, stored
 from chainloom.operators import chains, graph, scopes, source_text
 from chainloom.plans.catalog import QUERIES, SQL, _FUNCTIONS, _LINES, _NAMES, _SINKS, _SOURCES, java_files, query, quoted
 from chainloom.plans.corpus import _BY_FILE, _EDGES, _MADE, _SAN, _WITH, _on_corpus, corpus
@@ -197,12 +197,15 @@ def corpus_weighted_paths(spark, d):
 SELECT * FROM (SELECT unnest(['sources', 'sinks', 'sanitizers', 'edges', 'chains', 'rejected']) AS metric, unnest([(SELECT count(*) FROM {_on_corpus(_SOURCES)}), (SELECT count(*) FROM {_on_corpus(_SINKS)}), (SELECT count(*) FROM s), (SELECT count(*) FROM e), (SELECT count(*) FROM made), (SELECT count(*) FROM strongest WHERE effectiveness >= {chains.REJECTS})]) AS n)""")
 def corpus_metrics(spark, d):
     """How much each step of the way from text to verified chains makes."""
-    files = cut(corpus(spark, d))
-    sanitizers = source_text.static_sanitizers(files).join(source_text.lines(files), ["file", "line_number"])
-    made = chains.chains_from_source(files)
-    verdict = chains.rejected(made, chains.sanitizers_on(made, sanitizers))
-    n = lambda df, name, c=F.count(F.lit(1)): df.agg(c.alias("n")).select(F.lit(name).alias("metric"), "n")
-    parts = [n(source_text.static_sources(files), "sources"), n(source_text.static_sinks(files), "sinks"), n(sanitizers, "sanitizers"), n(chains.flow_edges(files), "edges"), n(verdict, "chains"), n(verdict, "rejected", F.count_if(F.coalesce(~F.col("verified"), F.lit(False))))]
+    files = stored(corpus(spark, d))
+    sanitizers = stored(source_text.static_sanitizers(files).join(source_text.lines(files), ["file", "line_number"]))
+    edges, ends = stored(chains.flow_edges(files)), chains.both_ends(files)
+    made = stored(chains.chains_of(edges, *ends))
+    # One row has both counts of the chains, so that they are made once.
+    verdict = chains.rejected(made, chains.sanitizers_on(made, sanitizers)).agg(F.count(F.lit(1)).alias("chains"), F.count_if(F.coalesce(~F.col("verified"), F.lit(False))).alias("rejected"))
+    both = verdict.select(F.explode(F.create_map(F.lit("chains"), "chains", F.lit("rejected"), "rejected")).alias("metric", "n"))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n")
+    parts = [n(source_text.static_sources(files), "sources"), n(source_text.static_sinks(files), "sinks"), n(sanitizers, "sanitizers"), n(edges, "edges"), both]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
