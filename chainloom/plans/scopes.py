@@ -184,12 +184,12 @@ p(start, node, cost, path) AS (SELECT node, node, 0.0::DOUBLE, [node] FROM so UN
 SELECT source, sink, cost, path FROM (SELECT start AS source, node AS sink, cost, path, row_number() OVER (PARTITION BY start, node ORDER BY cost, len(path), path) AS rn FROM p WHERE len(path) > 1 AND node IN (SELECT node FROM si)) WHERE rn = 1""")
 def corpus_weighted_paths(spark, d):
     """Paths of least cost from sources to sinks, of at most 15 nodes."""
-    files = cut(corpus(spark, d))
+    files = stored(corpus(spark, d))
     flows = source_text.assignments(files).unionByName(source_text.argument_flows(files))
     cost = F.coalesce(*[F.when(F.col("flow_type") == k, c) for k, c in COSTS])
     inside = flows.select(chains.node("file", "from_var").alias("src"), chains.node("file", "to_var").alias("dst"), cost.alias("cost"))
     across = source_text.call_bridges(files).select(chains.node("file", "argument").alias("src"), chains.node("owner", "parameter").alias("dst"), F.lit(ACROSS).alias("cost"))
-    ends = lambda df: df.select(chains.node("file", "variable").alias("node")).distinct()
+    ends = lambda df: cut(df.select(chains.node("file", "variable").alias("node")).distinct())
     return graph.cheapest_paths(inside.unionByName(across), ends(source_text.static_sources(files)), ends(source_text.static_sinks(files)), chains.MAX_NODES - 1)
 
 

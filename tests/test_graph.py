@@ -1,3 +1,4 @@
+import os
 import random
 
 from chainloom.functions import lineage
@@ -81,3 +82,14 @@ def test_rows_written_in_place_stay_there(spark):
     lying = lineage.cut_in_place(edges.repartition(lineage.partitions(spark), "src").sortWithinPartitions("src"))
     plan = lying.withColumnRenamed("dst", "end").join(lying.hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort " not in plan and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_cheapest_paths_write_each_once(spark):
+    """Of 300 lines of 15 nodes each of the 4,500 pairs; it was all that were met so far in each round."""
+    edges = [(f"line{i:03}_{j:02}", f"line{i:03}_{j + 1:02}", 1.0) for i in range(300) for j in range(14)]
+    node = lambda j: spark.createDataFrame([(f"line{i:03}_{j:02}",) for i in range(300)], "node string")
+    folder = spark.sparkContext.getCheckpointDir() or lineage.shared_folder(spark)
+    written = lambda: sum(os.path.getsize(f"{at}/{f}") for at, _, files in os.walk(folder.removeprefix("file:")) for f in files)
+    before = written()
+    assert {(r.cost, len(r.path)) for r in graph.cheapest_paths(spark.createDataFrame(edges, "src string, dst string, cost double"), node(0), node(14), 14).collect()} == {(14.0, 15)}
+    assert written() - before < 700_000
