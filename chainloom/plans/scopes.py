@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chainloom.functions.lineage import cut, stored
-from chainloom.operators import chains, graph, scopes, source_text
+from chainloom.operators import chains, graph, regions, scopes, source_text
 from chainloom.plans.catalog import QUERIES, SQL, _FUNCTIONS, _LINES, _NAMES, _SINKS, _SOURCES, java_files, query, quoted
 from chainloom.plans.corpus import _BY_FILE, _EDGES, _MADE, _SAN, _WITH, _on_corpus, corpus
 from chainloom.sources.tables import table
@@ -198,6 +198,9 @@ SELECT * FROM (SELECT unnest(['sources', 'sinks', 'sanitizers', 'edges', 'chains
 def corpus_metrics(spark, d):
     """How much each step of the way from text to verified chains makes."""
     files = stored(corpus(spark, d))
+    rows = regions.held(files, chains.MAX_NODES)
+    if rows is not None:
+        return chains.counts_in(rows)
     sanitizers = stored(source_text.static_sanitizers(files).join(source_text.lines(files), ["file", "line_number"]))
     edges, ends = stored(chains.flow_edges(files)), chains.both_ends(files)
     made = stored(chains.chains_of(edges, *ends))
